@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's code to the executors once per context, so that workers started anywhere can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tessera-code-")), "tessera_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder in ("tessera", "tessera/llm"):
+            for name in sorted(os.listdir(os.path.join(top, folder))):
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, folder, name), f"{folder}/{name}")
+    sc.addPyFile(archive)
+    sc._tessera_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

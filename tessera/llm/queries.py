@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, sharding
+from tessera.llm import exact_dedup, packing, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {

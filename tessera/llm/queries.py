@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing, sharding, simhash
+from tessera.llm import exact_dedup, line_dedup, packing, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }

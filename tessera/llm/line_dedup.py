@@ -110,23 +110,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), filled AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS k
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), runs AS (
-  SELECT doc_id, at, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM filled
+  SELECT doc_id, pos, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM filled
 ), nth AS (
   SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM runs WHERE run IS NOT NULL
 ), gone AS (
   SELECT DISTINCT doc_id, k + j AS k FROM nth, (VALUES (0), (1)) t(j) WHERE n > 1
 ), marked AS (
-  SELECT l.doc_id, l.line, l.at, gone.k IS NOT NULL AS out
-  FROM l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.at = f.at
+  SELECT l.doc_id, l.line, l.pos, gone.k IS NOT NULL AS dropped
+  FROM l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.pos = f.pos
          LEFT JOIN gone ON f.doc_id = gone.doc_id AND f.k = gone.k
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT out), '')) AS kept_sha256
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, line_dedup, packing, sharding, simhash, suffix_dedup
+from tessera.llm import exact_dedup, html_crf, langid, line_dedup, packing, sharding, simhash, spotsigs, suffix_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_language_id": langid.op2_language_id,
+    "op3_spotsigs": spotsigs.op3_spotsigs,
+    "op4_html_extraction": html_crf.op4_html_extraction,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,

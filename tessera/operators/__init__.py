@@ -1 +1 @@
-
+"""Relational operators: frames, groupings and windows."""

@@ -1 +1 @@
-
+"""The engine is for bounded tables: it has no streaming operators, so this package is empty by design."""

@@ -174,14 +174,14 @@ def _powers(ts: list[Token]) -> list[Token]:
 
 
 def _joined_strings(ts: list[Token]) -> list[Token]:
-    ends = COMPARISONS | {",", "||"} | (WORDS - {"end", "case", "when", "then", "else"}) | {"when", "then", "else"}
+    ends = COMPARISONS | {",", "||"} | (WORDS - {"end", "case"})
 
     def reach(at: int, step: int) -> int:
         """The last place of the operand next to `at`."""
         at += step
         while 0 <= at < len(ts):
             low = ts[at].low
-            if low == ("(" if step < 0 else ")") or low in ends:
+            if low in ("(", "case") and step < 0 or low in (")", "end") and step > 0 or low in ends:
                 return at - step
             if low == (")" if step < 0 else "("):
                 at = opening(ts, at) if step < 0 else closing(ts, at)

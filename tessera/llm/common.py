@@ -19,10 +19,11 @@ def shipped(spark: SparkSession) -> None:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tessera-code-")), "tessera_code.zip")
     with zipfile.ZipFile(archive, "w") as z:
-        for folder in ("tessera", "tessera/llm"):
-            for name in sorted(os.listdir(os.path.join(top, folder))):
+        for folder, _, names in os.walk(os.path.join(top, "tessera")):
+            for name in sorted(names):
                 if name.endswith(".py"):
-                    z.write(os.path.join(top, folder, name), f"{folder}/{name}")
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, top))
     sc.addPyFile(archive)
     sc._tessera_shipped = True
 

@@ -38,10 +38,11 @@ def signatures(text: Column) -> Column:
     is taken as it is.
     """
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    glued = F.regexp_replace(plain, f" (?:(?:{'|'.join(COMMON)}) )*({'|'.join(COMMON)})(?= )", f" $1{MARK}")
+    # No repeated group in the pattern: Java would recurse once for each common word in a row.
+    glued = F.regexp_replace(plain, f" ({'|'.join(COMMON)})(?= )", f" $1{MARK}")
     glued = F.replace(glued, F.lit(f"{MARK} "), F.lit(MARK))
     tokens = F.filter(F.split(glued, " "), lambda t: t != "")
-    pairs = F.transform(tokens, lambda t: F.struct(F.substring_index(t, MARK, -1).alias("w"), F.when(F.contains(t, F.lit(MARK)), F.substring_index(t, MARK, 1)).alias("anchor")))
+    pairs = F.transform(tokens, lambda t: F.struct(F.substring_index(t, MARK, -1).alias("w"), F.when(F.contains(t, F.lit(MARK)), F.substring_index(F.substring_index(t, MARK, -2), MARK, 1)).alias("anchor")))
     hashed = F.transform(pairs, lambda p: F.struct(F.xxhash64(p["w"]).alias("h"), p["anchor"].alias("anchor")))
 
     def at(whole):

@@ -68,8 +68,10 @@ def test_documents(spark):
 
 
 def test_awkward(spark, tmp_path, awkward):
-    awkward.write.parquet(str(tmp_path / "documents.parquet"))
-    check(spark, str(tmp_path), [(r["doc_id"], r["text"]) for r in awkward.collect()])
+    runs = spark.createDataFrame([(900, "Of the " * 40000), (901, "of " * 9 + "kiwi")], "doc_id long, text string")
+    df = awkward.select("doc_id", "text").union(runs)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, str(tmp_path), [(r["doc_id"], r["text"]) for r in df.collect()])
 
 
 def test_nothing(spark, tmp_path, nothing):

@@ -46,7 +46,7 @@ def test_awkward(spark, tmp_path, awkward, nothing):
 
 def test_plans_hold_exactly_the_pieces():
     rng = random.Random(2)
-    for capacity, most in ((50, 50), (200, 90), (2048, 2048)):
+    for capacity, most in ((50, 50), (200, 90), (200, 200), (2048, 700), (2048, 2048)):
         histogram = {rng.randrange(1, most + 1): rng.randrange(1, 2000) for _ in range(60)}
         plan = P.packed(histogram, capacity)
         held = Counter()

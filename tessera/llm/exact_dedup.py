@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, written
 
 #: A chunk ends at a space after one of CUT's letters, once it has LEAST characters, or at MOST characters.
 LEAST, MOST, CUT = 256, 4096, "dkmwz"
@@ -81,8 +81,9 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     group are null. Other columns of df are not read.
     """
     texts = df.select(F.col(key).alias("doc_id"), normalised(F.col(text)).alias("text"))
-    listed = recipes(texts, "text", "recipe").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "recipe")
-    groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    listed = written(recipes(texts, "text", "recipe").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "recipe"), "recipes")
+    # Written, so that the join has plain exchanges on both sides and a hot group can be split.
+    groups = written(listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return listed.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

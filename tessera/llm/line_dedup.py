@@ -55,10 +55,11 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     """
     each = written(windows(df, key, text, run), "windows")
     spots = each.select("print", "key", "digest", "at").distinct()
-    shared = spots.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    # Written, so that the joins have plain exchanges on both sides and a hot line can be split.
+    shared = written(spots.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
     place = F.struct("key", "digest", F.col("ats")[0].alias("at"))
     near = each.join(shared, "print", "left_semi").select("lines", "ats", "key", "digest", place.alias("place"))
-    first = near.groupBy("lines").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("lines", "first")
+    first = written(near.groupBy("lines").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("lines", "first"), "firsts")
     later = near.join(first, "lines").where(F.col("place") > F.col("first"))
     gone = later.groupBy("key", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("gone"))
     return gone

@@ -38,7 +38,7 @@ WIDE = LENGTH - GRAM + 1
 #: Bytes of text that are worked on at once (a longer document is by itself).
 CHUNK = 2 << 20
 #: Bytes of a name that are exchanged, besides its bucket.
-NAME = 5
+NAME = 4
 #: Bytes that multikey quicksort sorts by; blind tries do the rest.
 SHALLOW = 24
 ROW = WIDE - 1 + LENGTH + (-(WIDE - 1 + LENGTH) % 8)
@@ -127,7 +127,12 @@ def _long(b: bytes) -> np.ndarray:
 def _squeezed(*arrays: np.ndarray) -> bytes:
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(p) for p in parts], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which squeeze better than the values; np.cumsum restores these."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _restored(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -141,7 +146,7 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids, texts, size = [], [], 0
 
     def row():
-        blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        blob = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
         return pd.DataFrame({"chunk": [uuid.uuid4().hex], "ids": [ids], "lens": [[len(t) for t in texts]], "data": [blob]})
 
     for batch in batches:
@@ -221,7 +226,7 @@ def _sent(buckets: int):
                 of = of[have[np.minimum(np.searchsorted(have, rest[of]), len(have) - 1)] == rest[of]]
                 long = size[of] + LENGTH - 1
                 at = np.repeat(start[of] - np.cumsum(long) + long, long) + np.arange(long.sum())
-                out.append((row["chunk"], int(bucket[of[0]]) if len(of) else 0, _squeezed(name[of], ids[doc[of]], start[of], size[of].astype(np.uint8), data[at])))
+                out.append((row["chunk"], int(bucket[of[0]]) if len(of) else 0, _squeezed(_steps(ids[doc[of]]), _steps(start[of]), size[of].astype(np.uint8), data[at])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "runs"])
 
     return run
@@ -323,16 +328,18 @@ def suffix_classes(text: np.ndarray, at: np.ndarray, segment: np.ndarray) -> tup
 
 def _gone(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: per chunk the byte ranges that go."""
-    parts = [_restored(b, "<u8", "<i8", "<i8", "u1", "u1") for b in pdf["runs"]]
-    name, doc, start, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts = [_restored(b, "<i8", "<i8", "u1", "u1") for b in pdf["runs"]]
+    doc, start = (np.concatenate([np.cumsum(p[k]) for p in parts]) for k in (0, 1))
+    size, text = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
     chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     size = size.astype(np.int64)
-    n = len(name)
+    n = len(doc)
     empty = pd.DataFrame({"chunk": [], "ranges": []})
     if not n:
         return empty
     long = size + LENGTH - 1
     offset = np.cumsum(long) - long
+    name = names(text)[offset]  # all windows of a run have the same one
     # Runs of equal bytes are one content, with its smallest document.
     rows = np.zeros((n, ROW), np.uint8)
     rows[np.repeat(np.arange(n), long), np.arange(len(text)) - np.repeat(offset, long)] = text
@@ -409,7 +416,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: b
     """
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    own = df.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("first"), F.sha2(body, 256).alias("digest"), body.cast("binary").alias("body"))
+    own = df.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("first"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("digest"), body.cast("binary").alias("body"))
     firsts = own.groupBy("digest").agg(F.min("first").alias("first"))
     chunks = written(
         own.join(firsts, ["digest", "first"], "left_semi").select("first", "body").mapInPandas(_chunk_rows, "chunk string, ids array<long>, lens array<long>, data binary"),
@@ -421,7 +428,9 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: b
     sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_sent(buckets), "chunk string, bucket long, runs binary")
     gone = sent.groupBy("bucket").applyInPandas(_gone, "chunk string, ranges binary")
     schema = "first long, digest string, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_finished(with_text), schema).dropDuplicates(["digest"])
+    done = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_finished(with_text), schema)
+    # Written, so that the join with the rows has plain exchanges on both sides and a hot text can be split.
+    return written(done.dropDuplicates(["digest"]), "repeats")
 
 
 def _joined(df: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:

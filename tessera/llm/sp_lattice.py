@@ -6,15 +6,14 @@ their substrings of bounded length are exploded and joined with the piece
 table, and the matches, grouped by unit, are the edges of its lattice. A
 higher-order aggregate folds each lattice: for unigram models Viterbi's best
 path; for BPE models, whose encoding is no best path, the merges in the order of
-their scores, each of them an edge. Ids then go back to the texts that hold the
-units, by blocks of texts.
+their scores, each of them an edge. The most frequent units, a bounded number that
+makes up almost all of a text, are encoded so once for the whole corpus.
 """
 
 from __future__ import annotations
 
 import heapq
-import uuid
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,15 +21,18 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, shipped, shuffle_width, written
+from tessera.llm.common import documents, shipped, written
 
 SPACE = "▁"
-#: Characters of text that are worked on at once (a longer document is by itself).
-CHUNK = 2 << 20
+#: Characters of text whose units are counted before the counts move on.
+CHUNK = 8 << 20
+#: Units whose lattices are folded: the most frequent ones, so that their ids can be broadcast.
+MOST = 1 << 18
+#: Ids of rarer units that a worker remembers.
+KEPT = 1 << 17
 #: Units of more characters than this are merged one by one instead: a fold takes time with the square of the length.
 LONG = 32
 #: Characters below this are looked up pairwise for cuts; next to others nothing is cut.
@@ -248,107 +250,88 @@ def segmented(units: DataFrame, model: Model) -> DataFrame:
     return table.select("unit", (fold_merges(n, F.col("edges")) if bpe else fold_viterbi(n, F.col("edges"), low)).alias("cuts"))
 
 
-def _packed(strings: list[str]) -> bytes:
-    body = "".join(strings).encode("utf-32-le", "surrogatepass")
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(strings), *map(len, strings)], "<i4").tobytes() + body)
+def counted(rows: DataFrame, path: str) -> DataFrame:
+    """(unit, n) for the units of up to LONG characters in all texts: each CHUNK is counted before anything moves."""
 
-
-def _unpacked(blob: bytes) -> list[str]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<i4", n, 4)).tolist()
-    text = raw[4 * n + 4 :].decode("utf-32-le", "surrogatepass")
-    return [text[s:e] for s, e in zip([0, *ends], ends)]
-
-
-def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys, texts, size = [], [], 0
-
-    def row():
-        return pd.DataFrame({"chunk": [uuid.uuid4().hex], "keys": [keys], "data": [_packed(texts)]})
-
-    for batch in batches:
-        for key, text in zip(batch["key"], batch["text"], strict=True):
-            keys.append(key)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= CHUNK:
-                yield row()
-                keys, texts, size = [], [], 0
-    if keys:
-        yield row()
-
-
-def _by_bucket(texts: list[str], model: Model, buckets: int) -> tuple[list[list[str]], dict[int, list[str]]]:
-    """The units of each text, and the different short ones in order, by bucket."""
-    cut = [model.units(t) for t in texts]
-    dealt: dict[int, list[str]] = {}
-    for unit in sorted({u for us in cut for u in us if len(u) <= LONG}):
-        dealt.setdefault(zlib.crc32(unit.encode("utf-8", "surrogatepass")) % buckets, []).append(unit)
-    return cut, dealt
-
-
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    def run(batches):
+        model, seen, size = loaded(path), Counter(), 0
+        for batch in batches:
+            for text in batch["text"]:
+                if text:
+                    seen.update(u for u in model.units(text) if len(u) <= LONG)
+                    size += len(text)
+                if size >= CHUNK:
+                    yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
+                    seen, size = Counter(), 0
+        if seen:
+            yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
+
+    return rows.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The units of largest counts, up to `most` of them, cut at a power of the fourth root of two."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    held, least = 0, 1 << 30
+    sizes = {r["level"]: r["units"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("units")).collect()}  # at most 4 * 63 rows
+    for at in sorted(sizes, reverse=True):
+        held += sizes[at]
+        if held > most:
+            break
+        least = at
+    return counts.where(level >= least).select("unit")
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, most: int = MOST) -> DataFrame:
     """(key, ids array<int>) per row: the ids that SentencePiece gives for the whole text.
 
     Null and empty texts have no ids. Characters without a piece become byte
-    pieces. Repeated rows are encoded each; other columns are not read. The piece
-    table is broadcast, as the vocabulary bounds it.
+    pieces. Repeated rows are encoded each; other columns are not read. The ids of
+    the `most` most frequent units come from their lattices and are broadcast, as
+    `most` bounds them; rarer and longer units are merged where they stand, to the
+    same ids.
     """
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
+
     spark = df.sparkSession
     shipped(spark)
     path = path or model_path()
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    chunks = written(rows.mapInPandas(_chunked, "chunk string, keys array<string>, data binary"), "spchunks")
-    buckets = max(shuffle_width(spark), chunks.count() // 4)
+    rows = df.select(F.col(key), F.col(text).alias("text"))
+    counts = written(counted(rows, path), "spunits")
+    model = loaded(path)
+    cuts = segmented(frequent(counts, most), model)
 
-    def held(batches):
+    def found(batches):
+        model = loaded(path)
         for batch in batches:
-            for chunk, data in zip(batch["chunk"], batch["data"], strict=True):
-                _, dealt = _by_bucket(_unpacked(data), loaded(path), buckets)
-                yield pd.DataFrame({"chunk": chunk, "bucket": list(dealt), "units": [_packed(u) for u in dealt.values()]})
+            ids = [np.array(model.ids(u, list(c)), "<u4").tobytes() for u, c in zip(batch["unit"], batch["cuts"], strict=True)]
+            yield pd.DataFrame({"unit": batch["unit"], "ids": ids})
 
-    def different(pdf):
-        return pd.DataFrame({"unit": sorted({u for b in pdf["units"] for u in _unpacked(b)})})
+    pairs = cuts.mapInPandas(found, "unit string, ids binary").toPandas()  # at most `most` rows
+    table = (list(pairs["unit"]), [bytes(i) for i in pairs["ids"]])
+    del pairs
+    shared = spark.sparkContext.broadcast(table)
 
-    def answered(left, right):
+    def run(batches):
         model = loaded(path)
-        known = {u: model.ids(u, list(c)) for u, c in zip(right["unit"], right["cuts"], strict=True)}
-        out = []
-        for chunk, bucket, blob in zip(left["chunk"], left["bucket"], left["units"], strict=True):
-            ids = [known[u] for u in _unpacked(blob)]
-            sizes, flat = np.array([len(ids), *map(len, ids)], "<i4"), np.array([i for x in ids for i in x], "<i4")
-            out.append((chunk, bucket, zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + flat.tobytes())))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "ids"])
+        known = dict(zip(*shared.value, strict=True))
+        single = merged if model.kind == "bpe" else best_path
+        rest: dict[str, bytes] = {}
 
-    def assembled(left, right):
-        model = loaded(path)
-        keys, out = [], []
-        for of, data in zip(left["keys"], left["data"], strict=True):
-            cut, dealt = _by_bucket(_unpacked(data), model, buckets)
-            known = {}
-            for bucket, blob in zip(right["bucket"], right["ids"], strict=True):
-                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i4")
-                ends = np.cumsum(raw[1 : raw[0] + 1]).tolist()
-                flat = raw[raw[0] + 1 :].tolist()
-                known.update(zip(dealt[bucket], (flat[s:e] for s, e in zip([0, *ends], ends)), strict=True))
-            single = merged if model.kind == "bpe" else best_path
-            for units in cut:
-                ids: list[int] = []
-                for u in units:
-                    ids += known[u] if len(u) <= LONG else model.ids(u, single(u, model))
-                out.append(np.array(ids, np.int32))
-            keys += list(of)
-        return pd.DataFrame({"key": keys, "ids": out})
-
-    blobs = written(chunks.mapInPandas(held, "chunk string, bucket long, units binary"), "spunits")
-    units = blobs.groupBy("bucket").applyInPandas(different, "unit string")
-    in_bucket = F.pmod(F.crc32(F.col("unit").cast("binary")), F.lit(buckets)).alias("bucket")
-    cuts = segmented(units, loaded(path)).select(in_bucket, "unit", "cuts")
-    answers = blobs.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInPandas(answered, "chunk string, bucket long, ids binary")
-    done = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(assembled, "key string, ids array<int>")
-    return done.select(F.col("key").cast(kind).alias(key), "ids")
+        def rare(unit):
+            if len(rest) > KEPT:
+                rest.clear()
+            ids = rest[unit] = np.array(model.ids(unit, single(unit, model)), "<u4").tobytes()
+            return ids
+
+        for batch in batches:
+            parts = [b"".join([known.get(u) or rest.get(u) or rare(u) for u in model.units(t or "")]) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in parts)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])
+
+    return rows.mapInArrow(run, StructType([df.schema[key]]).add("ids", ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", name: str = "text", path: str | None = None) -> DataFrame:

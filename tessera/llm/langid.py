@@ -24,7 +24,7 @@ from tessera.llm.common import documents, shipped
 
 SLOTS = 1 << 13
 #: Texts learned from, at most so many a language: those of least hash of their key.
-SAMPLE = 500
+SAMPLE = 300
 CENTROIDS = 4
 #: A text is rejected below so many times the least cosine among the texts learned from.
 SLACK = 0.25
@@ -78,9 +78,14 @@ class Model:
     least: np.ndarray  # cosine under which a text is rejected, by centroid
 
     def vectors(self, counted: np.ndarray) -> np.ndarray:
-        tf = np.zeros_like(counted)
-        np.log(counted, out=tf, where=counted > 0)
-        return _unit((tf + (counted > 0)) * self.idf)
+        """Turns counts into unit vectors, in place."""
+        some = counted > 0
+        np.log(counted, out=counted, where=some)
+        np.add(counted, 1, out=counted, where=some)
+        counted *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", counted, counted))
+        counted /= np.where(norm > 0, norm, 1)[:, None]
+        return counted
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine, rejected) of each text; UNKNOWN, 0, true without letters (or without a model)."""
@@ -113,6 +118,7 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit_rows(labels: list[str], counted: np.ndarray) -> Model:
+    """A model from labelled counts, which are overwritten."""
     idf = (np.log((1 + len(labels)) / (1 + (counted > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model([], idf, np.zeros((0, SLOTS), np.float32), np.zeros(0))
     if not len(labels):
@@ -140,8 +146,13 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    nth = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    taken = rows.select(key, lang).withColumn("__nth", nth).where(F.col("__nth") <= per_language).select(key).distinct()
+    # Hashes under a bound that twice as many rows as needed are expected to meet: only those are ranked.
+    sizes = rows.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__rows"))  # a row for each language
+    place = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    drawn = rows.select(key, lang, place.alias("__place")).join(F.broadcast(sizes), F.col(lang) == F.col("__lang"))
+    drawn = drawn.where(F.col("__place") * F.col("__rows") < 2.0 * per_language)
+    nth = F.row_number().over(Window.partitionBy(lang).orderBy("__place", key))
+    taken = drawn.withColumn("__nth", nth).where(F.col("__nth") <= per_language).select(key).distinct()
     sample = rows.select(key, lang, text).join(F.broadcast(taken), key)  # per_language keys a language
 
     def vectors(batches):
@@ -149,15 +160,17 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 counted = counts(list(part[text]))
-                slots = [np.flatnonzero(c) for c in counted]
-                yield pd.DataFrame({"lang": part[lang].to_numpy(), "slots": slots, "counts": [c[s] for c, s in zip(counted, slots, strict=True)]})
+                slots = [np.flatnonzero(c).astype("<u2") for c in counted]
+                values = [c[s].astype("<f4").tobytes() for c, s in zip(counted, slots, strict=True)]
+                yield pd.DataFrame({"lang": part[lang].to_numpy(), "slots": [s.tobytes() for s in slots], "counts": values})
 
-    got = sample.mapInPandas(vectors, "lang string, slots array<int>, counts array<float>").where(F.size("slots") > 0).toPandas()
-    got = got.iloc[np.lexsort((got["slots"].map(len), got["counts"].map(sum), got["lang"]))] if len(got) else got
+    # At most per_language rows a language, each of at most 6 bytes a slot.
+    got = sample.mapInPandas(vectors, "lang string, slots binary, counts binary").where(F.octet_length("slots") > 0).collect()
+    got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["counts"])))
     counted = np.zeros((len(got), SLOTS), np.float32)
-    for row, (slots, values) in enumerate(zip(got["slots"], got["counts"], strict=True)):
-        counted[row, slots] = values
-    return fit_rows(list(got["lang"]), counted)
+    for row, r in enumerate(got):
+        counted[row, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+    return fit_rows([r["lang"] for r in got], counted)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

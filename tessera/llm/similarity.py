@@ -2,7 +2,7 @@
 
 Two nodes that share a bucket are candidates; a link is a pair of candidates
 whose sets have a Jaccard likeness of at least `threshold`. First every node is
-held against the least node of its buckets, then against the least node of each
+held against the least node of all its buckets, then against the least node of each
 group found so far, and at last every two candidates of different groups against
 each other. A dense group falls together in the first rounds, which take as
 many pairs as rows; pairs inside a group are never looked at again.
@@ -53,7 +53,8 @@ def linked(members: DataFrame, nodes: DataFrame, threshold: float, sets: Callabl
     for turn in range(3):
         if turn == 0:
             lead = now.groupBy("bucket").agg(F.min("node").alias("a"))
-            pairs = now.select("bucket", F.col("node").alias("b")).join(lead, "bucket").select("a", "b")
+            # One pair for each node: the least leader of all its buckets.
+            pairs = now.select("bucket", F.col("node").alias("b")).join(lead, "bucket").groupBy("b").agg(F.min("a").alias("a"))
         else:
             other = now.groupBy("bucket", "label").agg(F.min("node").alias("a")) if turn == 1 else now.select("bucket", "label", F.col("node").alias("a"))
             several = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")

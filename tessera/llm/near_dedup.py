@@ -1,15 +1,19 @@
-"""Near duplicates on five-word shingles: SimHash on covering hashing for candidates, exact Jaccard likeness for links.
-
-A changed word spoils five shingles but one word, so candidates come from
-fingerprints of the set of words: texts whose shingles are 0.8 alike differ in
-few bits there. Several independent fingerprints take the place of a wide
-radius. Within its radius each finds all pairs, by covering masks. Whether a
-candidate pair is a link is then decided by the likeness of the whole shingle
-sets, and groups lose no link (see similarity.linked).
+"""Near duplicates on five-word shingles: SimHash on covering hashing and shared shingles for candidates, exact Jaccard likeness for links.
+
+A changed word spoils five shingles but one word, so one kind of candidates
+comes from fingerprints of the set of words: texts with few changed words differ
+in few bits there. Within its radius each fingerprint finds all pairs, by
+covering masks. An appended, cut or replaced passage is beyond any such radius,
+so the other kind is complete by itself: of two texts that are alike enough, one
+of the first shingles of either, in an order that all texts share and that puts
+frequent shingles last, is the same. Whether a candidate pair is a link is then
+decided by the likeness of the whole shingle sets, and groups lose no link (see
+similarity.linked).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +25,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpointed, shipped, shuffle_width, written
 from tessera.llm.similarity import linked
 from tessera.llm.simhash import HOT, covering_masks, hashes, majority, signed, words_of
+from tessera.llm.spotsigs import length_class
 
 SHINGLE, ALIKE = 5, 0.8
-#: Fingerprints of a text, and the differing bits that each looks up to. Of the 48 pairs of different texts of sf0.1
-#: that are 0.8 alike or more, four fingerprints find 47 and eight find all.
+#: Fingerprints of a text, and the differing bits that each looks up to.
 PRINTS, RADIUS = 8, 4
-#: Differing bits of all fingerprints together beyond which a pair is no candidate: these 48 pairs differ in 56 at most,
-#: unlike texts in about 245 of 512.
-FAR = 16 * PRINTS
+#: Least number of bits of the parities by which pairs are sifted.
+PARITIES = 512
+#: Which shingles come last in their common order: of one text in SAMPLED, those in OFTEN or more, the MOST most frequent.
+#: No result depends on it, only the sizes of buckets do.
+SAMPLED, OFTEN, MOST = 4, 2, 1 << 18
 #: Rows up to which a table of keys is broadcast; a larger one is joined by shuffle.
 SMALL = 500_000
 
@@ -59,6 +65,66 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bits, at least as many as shingles and a power of two, in longs: each the parity of those shingles whose hash leaves its number as remainder.
+
+    Two sets differ in at least as many shingles as bits; the first half xor the second are the bits of half as many.
+    """
+    most = max(PARITIES, 1 << max(0, len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles.view(np.uint64) % np.uint64(most)).astype(np.int64), minlength=most) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of longs, the longer one folded to the length of the other."""
+
+    def xor(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), xor(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half))).otherwise(x)
+
+    return F.aggregate(xor(folded(a, b), folded(b, a)), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
+def leading(shingles: np.ndarray, threshold: float, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first n - ceil(threshold n) + 1 of n shingles, by how often they are (`often`, sorted, with `times`) and then by hash.
+
+    Two sets that are `threshold` alike or more share `threshold` of either, so the first
+    that they share, in this order, is among these of both.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    count = np.zeros(n, np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
+        count = np.where(often[at] == shingles, times[at], 0)
+    return shingles[np.lexsort((shingles, count))[: n - math.ceil(n * threshold - 1e-9) + 1]]
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of the texts in a sample, sorted, and how many texts have each: at most MOST."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": shingle_set(words_of(text))})
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    counted = sample.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+
+    def packed(batches):  # a few rows of bytes, as the driver has no room for MOST objects
+        for batch in batches:
+            yield pd.DataFrame({"h": [batch["h"].to_numpy("<i8").tobytes()], "n": [batch["n"].to_numpy("<i8").tobytes()]})
+
+    got = counted.orderBy(F.desc("n"), "h").limit(MOST).mapInPandas(packed, "h binary, n binary").collect()
+    often, times = (np.frombuffer(b"".join(bytes(r[c]) for r in got), "<i8") for c in ("h", "n"))
+    at = np.argsort(often)
+    return often[at], times[at]
+
+
 def _labels(points: np.ndarray, radius: int) -> np.ndarray:
     """For each point the first point of its group, linked at `radius` or fewer differing bits."""
     label = np.arange(len(points))
@@ -161,16 +227,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     shipped(df.sparkSession)
     docs = df.select(F.col(key).alias("key"), _digest(text).alias("digest"), F.col(text).alias("text"))
 
+    order = df.sparkSession.sparkContext.broadcast(_frequent(docs))
+    names = ["n", *(f"f{k}" for k in range(PRINTS))]
+
     def prints(batches):
+        often, times = order.value
         for batch in batches:
-            words = [words_of(t) for t in batch["text"]]
-            table = pd.DataFrame([word_prints(w) for w in words], columns=[f"f{k}" for k in range(PRINTS)], dtype=np.int64)
-            yield pd.concat((batch[["key", "digest"]].reset_index(drop=True), pd.DataFrame({"n": [len(shingle_set(w)) for w in words]}, dtype=np.int64), table), axis=1)
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256].reset_index(drop=True)
+                numbers, bits, firsts = [], [], []
+                for t in part["text"]:  # one text's words at a time
+                    words = words_of(t)
+                    shingles = shingle_set(words)
+                    numbers.append([len(shingles), *word_prints(words)])
+                    bits.append(parities(shingles))
+                    firsts.append(leading(shingles, threshold, often, times))
+                yield pd.concat((part[["key", "digest"]], pd.DataFrame(numbers, columns=names, dtype=np.int64), pd.DataFrame({"bits": bits, "firsts": firsts})), axis=1)
 
     kind = df.schema[key].dataType.simpleString()
-    shape = f"key {kind}, digest binary, n long" + "".join(f", f{k} long" for k in range(PRINTS))
+    shape = f"key {kind}, digest binary" + "".join(f", {c} long" for c in names) + ", bits array<long>, firsts array<long>"
     rows = written(docs.mapInPandas(prints, shape), "wordprints")
-    attributes = ["n", *(f"f{k}" for k in range(PRINTS))]
+    attributes = [*names, "bits", "firsts"]
     unique = rows.groupBy("digest").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in attributes])
     nodes = written(unique.withColumn("node", F.monotonically_increasing_id()), "neardocs")
     parts = []
@@ -182,13 +259,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         parts.append(rooted.join(points, "fingerprint").select(F.xxhash64(F.lit(k), "root").alias("bucket"), "node"))
         same = points.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
         parts.append(points.join(same, "fingerprint").select(F.xxhash64(F.lit(k), F.lit(-1), "fingerprint").alias("bucket"), "node"))
+    firsts = nodes.select("node", "n", F.explode("firsts").alias("h"))
+    # Written, so that the join has plain exchanges on both sides and a hot shingle can be split.
+    shared = written(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "firsts")
+    cls = length_class(F.col("n"), threshold)
+    sized = firsts.join(shared, "h", "left_semi").select("h", "node", F.explode(F.array(cls, cls + 1)).alias("cls"))
+    led = written(sized.select(F.xxhash64(F.lit(PRINTS), "cls", "h").alias("bucket"), "node"), "led")
+    # Texts with one passage in common share many shingles: of buckets of the same nodes one is enough.
+    held = led.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("many > 1")
+    parts.append(led.join(held.groupBy("many", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi").select("bucket", "node"))
     members = parts[0]
     for part in parts[1:]:
         members = members.union(part)
     members = written(members, "nearmembers")
 
     def plausible(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(f"{a}f{k}").bitwiseXOR(F.col(f"{b}f{k}"))) for k in range(PRINTS)), F.lit(0)) <= FAR
+        # Of two such sets at most this share of their sizes together stands in one alone.
+        most = (F.col(f"{a}n") + F.col(f"{b}n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+        # The sizes are near each other here (see similarity), so one folding makes the lengths equal; where not, the pair stays.
+        return F.coalesce(_differing(F.col(f"{a}bits"), F.col(f"{b}bits")) <= most, F.lit(True))
 
     def sets(want: DataFrame) -> DataFrame:
         asked = _small(checkpointed(nodes.join(want, "node", "left_semi").select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), "node")))
@@ -200,7 +289,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
         return written(found.mapInPandas(run, "node long, `set` array<long>").dropDuplicates(["node"]), "nearsets")
 
-    groups = linked(members, nodes.select("node", *attributes), threshold, sets, plausible)
+    groups = linked(members, nodes.select("node", "n", "bits"), threshold, sets, plausible)
     classes = nodes.select("node", "digest", "key").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("key").alias("class_id"))
     return rows.select("key", "digest").join(classes.join(least, "component").select("digest", "class_id"), "digest").select(F.col("key").alias(key), "digest", "class_id")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessera.llm import near_dedup as N
 from tessera.llm.simhash import words_of
@@ -53,6 +55,43 @@ def test_planted_copies(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, c in got.items() if i == c)
 
 
+def test_appended_cut_and_replaced_copies(spark):
+    rng = random.Random(7)
+    bank = [f"w{k}" for k in range(3000)]
+    some = lambda n: [rng.choice(bank) for _ in range(n)]
+    rows = []
+    for k in range(90):
+        words = some(rng.choice([30, 100, 300, 900]))
+        share = int(len(words) * rng.uniform(0.05, 0.12 if k % 3 == 2 else 0.26))
+        at = rng.randrange(len(words) - share)
+        copy = [words + some(share), words[: len(words) - share], words[:at] + some(share) + words[at + share :]][k % 3]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    rows += [(len(rows) + k, " ".join(bank[:40] + some(20))) for k in range(40)]  # one passage in many unlike texts
+    want = brute(rows)
+    assert sum(want[i] == i - 1 for i in range(1, 180, 2)) > 30  # of each kind some are alike enough, some not
+    assert sum(want[i] == i for i in range(1, 180, 2)) > 5
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want[i] for i, _ in rows}
+
+
+def test_no_candidate_is_lost_to_the_order_or_the_parities():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 9, 10, 64, 1000):
+        for _ in range(50):
+            a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+            fresh = rng.integers(-(1 << 63), 1 << 63, rng.integers(0, n // 4 + 1))
+            b = np.unique(np.concatenate((rng.permutation(a)[rng.integers(0, n // 5 + 1) :], fresh)))
+            either = np.union1d(a, b)
+            if len(np.intersect1d(a, b)) / len(either) < N.ALIKE:
+                continue
+            often = np.unique(rng.permutation(either)[: len(either) // 2])
+            times = rng.integers(1, 9, len(often))
+            assert len(np.intersect1d(N.leading(a, N.ALIKE, often, times), N.leading(b, N.ALIKE, often, times)))
+            p, q = sorted((N.parities(a), N.parities(b)), key=len)
+            q = q if len(p) == len(q) else q[: len(p)] ^ q[len(p) :]
+            assert np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) * (1 - N.ALIKE) / (1 + N.ALIKE) + 1e-6
+
+
 def test_hot_buckets_are_split(spark, monkeypatch):
     rng = random.Random(8)
     centre = rng.getrandbits(64)

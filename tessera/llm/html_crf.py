@@ -28,7 +28,7 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul button".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea iframe svg math object canvas audio video".split()
+RAW = "script style template textarea".split()
 #: A start tag of the first kind ends an open tag of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SECTIONS = frozenset("article main section nav header footer aside form menu".split())
@@ -40,6 +40,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
+#: The content of an iframe is never shown; one that isn't closed is passed over as a tag, like other foreign and media tags.
+CLOSED_FRAME = re.compile(r"</iframe\s*>", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
@@ -77,8 +79,8 @@ def blocks(page: str | None) -> list[Block]:
         if links:
             linked += len(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, frames = 0, True
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -87,6 +89,10 @@ def blocks(page: str | None) -> list[Block]:
         tag = m["tag"].lower()
         if tag == "a":
             links = 0 if m["end"] else 1
+        elif tag == "iframe" and frames and not m["end"] and not m["rest"].endswith("/"):
+            close = CLOSED_FRAME.search(page, at)
+            frames = close is not None
+            at = close.end() if close else at
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:

@@ -59,3 +59,19 @@ def test_awkward(spark):
     assert H.extract(df).columns == ["page_id", "url", "html", "text"] and len(got) == 5
     assert sorted(len(r["text"]) for r in got) == [0, 0, 0, 0, 16 * 20000 - 1]
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("inside", "texts"),
+    [
+        ('<p>One <svg class="i"/> two.</p><p>Three.</p>', ["One two.", "Three."]),
+        ("<p>One <iframe src=x/> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One <iframe src=x> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One <iframe src=x>gone</iframe> two.</p><iframe>gone</iframe><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One</p><video src=x><p>Two.</p>", ["One", "Two."]),
+        ("<p>Of <math><mi>x</mi></math> and <object>more</object></p><noscript><p>Plain.</p></noscript>", ["Of x and more", "Plain."]),
+        ("<p>One</p><script>if (a < b) '<p>'", ["One"]),
+    ],
+)
+def test_foreign_and_media_elements_end_nothing(inside, texts):
+    assert [b.text for b in H.blocks(f"<article>{inside}")] == texts

@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
-    "op8_sentencepiece": sp_lattice.op8_sentencepiece,
     "op9_line_dedup": line_dedup.ORACLE,
 }

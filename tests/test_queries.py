@@ -45,6 +45,19 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - set(QUERIES)))
+def test_oracle_of_a_training_data_query(spark, duck, name):
+    df = entry.queries()[name](spark, DIR)
+    want = duck.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert ordered([tuple(r) for r in df.collect()], df.columns) == ordered(want.fetchall(), names)
+
+
 def plan(spark, name):
     return QUERIES[name](spark, DIR)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 

@@ -5,8 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import tessera.functions as f
+from tessera import Engine
 from tessera.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -45,6 +48,25 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_null_order_and_ids_over_whole_tables(spark, duck):
+    """What the row caps and id conditions of sort_null_order, sql_null_order, cte_cols, derived_table and filter_null leave out."""
+    e = Engine(spark).open(DIR, "orders", "customer")
+    rows = lambda frame: [tuple(r) for r in frame.df.collect()]
+    want = duck.execute("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s DESC NULLS FIRST, o_orderkey").fetchall()
+    assert len(want) > 50 and any(s is not None for _, s in want)
+    shown = e.table("orders").select("o_orderkey", f.null_if("o_orderstatus", F.lit("F")).alias("s"))
+    assert rows(shown.order_by(f.desc("s"), "o_orderkey")) == want
+    assert rows(e.sql("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s DESC, o_orderkey")) == want
+    everyone = duck.execute("SELECT c_custkey, c_name FROM customer").fetchall()
+    assert sorted(rows(e.sql("WITH c(key) AS (SELECT c_custkey, c_name FROM customer) SELECT key, c_name FROM c"))) == sorted(everyone)
+    dear = duck.execute("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000").fetchall()
+    inner = e.table("orders").filter(f.col("o_totalprice") > 1000).select("o_orderkey", "o_totalprice")
+    assert sorted(rows(inner.subquery("o").select("o.o_orderkey", "o.o_totalprice"))) == sorted(dear)
+    both = e.table("customer").left_join(e.table("orders")).on(f.col("c_custkey") == f.col("o_custkey"))
+    pairs = duck.execute("SELECT c_custkey, o_orderkey IS NULL FROM customer LEFT JOIN orders ON c_custkey = o_custkey").fetchall()
+    assert sorted(rows(both.select("c_custkey", f.col("o_orderkey").isNull().alias("lonely")))) == sorted(pairs)
+
+
 def test_every_oracle_is_sql():
     assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 

@@ -3,11 +3,12 @@
 A document is a sequence of lines; lines of white space alone are passed over.
 In every window of RUN consecutive lines the line of least hash is selected, so
 whatever repeats for RUN lines or more shares a selected line: selected lines
-are guaranteed fingerprints. Windows whose fingerprint occurs at one place only
-are done with. Around the others the positions are joined: a window is held
-against the first place where the same RUN lines stand, and windows that stand
-somewhere earlier, chained both ways from the fingerprint, make up the maximal
-later runs. Their lines are deleted; first occurrences stay.
+are guaranteed fingerprints. A line of WORDS words or more is a fingerprint of
+its own. Fingerprints that occur at one place only are done with. The others
+carry the digests of their neighbours: each is extended by them both ways, what
+it extends to is held against the first place where the same lines stand, and
+chains of such extensions make up the maximal later runs. Their lines are
+deleted; first occurrences stay.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, written
 
 RUN = 2
+#: Words of a line that counts as a run by itself.
+WORDS = 50
 FILLED = r"[^\x20\x09-\x0D]"
 
 
@@ -32,37 +35,58 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def windows(df: DataFrame, key: str, text: str, run: int = RUN) -> DataFrame:
-    """A row per window of `run` lines: key, digest (of the text), ats (line numbers), print, at (of the fingerprint), lines (digests)."""
-    marked = F.transform(
-        lines_of(F.col(text)),
-        lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("h"), _digest(line).alias("d"), line.rlike(FILLED).alias("filled")),
-    )
-    base = df.select(F.col(key).alias("key"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.filter(marked, lambda x: x["filled"]).alias("lines"))
-    starts = F.when(F.size("lines") >= run, F.sequence(F.lit(1), F.size("lines") - run + 1)).otherwise(F.array().cast("array<int>"))
-    each = base.select("key", "digest", F.explode(F.transform(starts, lambda s: F.slice("lines", s, run))).alias("w"))
-    least = F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), (-x["at"]).alias("back"))))
-    together = reduce(lambda a, b: F.concat(a, b), [F.col("w")[i]["d"] for i in range(run)])
-    return each.select("key", "digest", F.col("w.at").alias("ats"), least["h"].alias("print"), (-least["back"]).alias("at"), together.alias("lines"))
+def _long(line: Column) -> Column:
+    """Whether a line has WORDS words or more. Only lines of enough bytes are counted, and by their spaces unless they hold more than single ones."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    ends = F.startswith(line, F.lit(" ")).cast("int") + F.endswith(line, F.lit(" ")).cast("int")
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    words = F.when(odd, F.regexp_count(line, F.lit(FILLED + "+"))).otherwise(spaces + 1 - ends)
+    return F.when(F.octet_length(line) >= 2 * WORDS - 1, words >= WORDS).otherwise(F.lit(False))
+
+
+def fingerprints(df: DataFrame, key: str, text: str, run: int = RUN) -> DataFrame:
+    """A row per selected line: key, digest (of the text), print (its hash), long, ats and around: numbers and digests of the lines from run - 1 before it to run - 1 after it.
+
+    Selected is the line of least hash in each window of `run` lines, the last of
+    equal ones, and each line of WORDS words. Places beyond either end are null.
+    """
+    line = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), _digest(x).alias("d"), _long(x).alias("long"), x.rlike(FILLED).alias("filled"))
+    base = df.select(F.col(key).alias("key"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.filter(F.transform(lines_of(F.col(text)), line), lambda x: x["filled"]).alias("lines"))
+
+    around = F.transform("lines", lambda x, i: F.array(*[x if k == 0 else F.get("lines", i + k) for k in range(1 - run, run)]))
+    each = base.select("key", "digest", F.explode(around).alias("w"))
+    at = [F.col("w")[k] for k in range(2 * run - 1)]
+    own = at[run - 1]
+    beats = [F.coalesce(own["h"] <= x["h"] if k < run - 1 else own["h"] < x["h"], F.lit(False)) for k, x in enumerate(at)]
+    # Least in the window that starts at k: all its other lines exist and are beaten.
+    least = [reduce(lambda p, q: p & q, [beats[j] for j in range(k, k + run) if j != run - 1], F.lit(True)) for k in range(run)]
+    chosen = each.where(reduce(lambda p, q: p | q, least) | own["long"])
+    return chosen.select("key", "digest", own["h"].alias("print"), own["long"].alias("long"), F.col("w.at").alias("ats"), F.col("w.d").alias("around"))
+
+
+def extended(prints: DataFrame, run: int = RUN) -> DataFrame:
+    """(key, digest, ats, lines): what each fingerprint extends to: the windows of `run` lines that hold it, up to run - 1 lines back and on, and the line itself if it is long."""
+    spans = [F.struct(F.slice("ats", k + 1, run).alias("ats"), F.slice("around", k + 1, run).alias("lines")) for k in range(run)]
+    own = F.struct(F.slice("ats", run, 1).alias("ats"), F.slice("around", run, 1).alias("lines"))
+    whole = F.filter(F.array(*spans), lambda w: ~F.exists(w["ats"], lambda a: a.isNull()))
+    return prints.select("key", "digest", F.explode(F.when(F.col("long"), F.array_append(whole, own)).otherwise(whole)).alias("w")).select("key", "digest", "w.ats", "w.lines")
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """(key, digest, gone): the sorted numbers of the lines to delete, for each (key, text) that has any.
 
-    A line goes if it is in `run` consecutive non-blank lines that also stand,
-    the same, at an earlier place: in a text of smaller (key, text digest), or
-    further up in the same one. Null keys come first.
+    A line goes if it is in `run` consecutive non-blank lines, or is one of WORDS
+    words or more, that also stand, the same, at an earlier place: in a text of
+    smaller (key, text digest), or further up in the same one. Null keys come first.
     """
-    each = written(windows(df, key, text, run), "windows")
-    spots = each.select("print", "key", "digest", "at").distinct()
+    each = written(fingerprints(df, key, text, run), "prints")
     # Written, so that the joins have plain exchanges on both sides and a hot line can be split.
-    shared = written(spots.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
+    shared = written(each.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "shared")
     place = F.struct("key", "digest", F.col("ats")[0].alias("at"))
-    near = each.join(shared, "print", "left_semi").select("lines", "ats", "key", "digest", place.alias("place"))
-    first = written(near.groupBy("lines").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("lines", "first"), "firsts")
-    later = near.join(first, "lines").where(F.col("place") > F.col("first"))
-    gone = later.groupBy("key", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("gone"))
-    return gone
+    near = extended(each.join(shared, "print", "left_semi"), run).withColumn("place", place)
+    first = near.groupBy("lines").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("lines", "first")
+    later = near.join(written(first, "firsts"), "lines").where(F.col("place") > F.col("first"))
+    return later.groupBy("key", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("gone"))
 
 
 def without(lines: Column, gone: Column) -> Column:
@@ -88,7 +112,7 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     """df with the later repeated runs of lines deleted from `text`; rows that nothing is left of go.
 
     Null and empty texts stay as they are. Texts of fewer than `run` non-blank
-    lines never match. Rows that repeat both key and text are one document, so
+    lines match by lines of WORDS words alone. Rows that repeat both key and text are one document, so
     they don't delete each other. Other columns are kept.
     """
     cut = with_repeats(df, key, text, run).withColumn("__kept", kept_text(text))
@@ -97,7 +121,12 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed (lines) and kept_sha256 of the text that is left."""
+    """Per document: doc_id, n_lines, n_removed (lines) and kept_sha256 of the text that is left.
+
+    Null texts count as empty: one line, none removed. Rows that repeat doc_id and
+    text share their result; ties of doc_id go by the text's digest. An empty
+    table gives an empty one.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     left = F.coalesce(kept_text("text"), F.lit(""))
     return with_repeats(docs).select(
@@ -117,11 +146,13 @@ WITH l AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), runs AS (
-  SELECT doc_id, pos, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM filled
+  SELECT doc_id, k, 1 AS more, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM filled
+  UNION ALL
+  SELECT doc_id, k, 0, line FROM filled WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50
 ), nth AS (
-  SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM runs WHERE run IS NOT NULL
+  SELECT doc_id, k, more, row_number() OVER (PARTITION BY more, run ORDER BY doc_id, k) AS n FROM runs WHERE run IS NOT NULL
 ), gone AS (
-  SELECT DISTINCT doc_id, k + j AS k FROM nth, (VALUES (0), (1)) t(j) WHERE n > 1
+  SELECT DISTINCT doc_id, k + j AS k FROM nth, (VALUES (0), (1)) t(j) WHERE n > 1 AND j <= more
 ), marked AS (
   SELECT l.doc_id, l.line, l.pos, gone.k IS NOT NULL AS dropped
   FROM l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.pos = f.pos

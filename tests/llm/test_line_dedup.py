@@ -15,11 +15,14 @@ def brute(rows):
     seen, out = set(), {}
     for place, (t, lines, at) in sorted(docs.items()):
         gone = set()
-        for s in range(len(at) - L.RUN + 1):
-            run = tuple(lines[k] for k in at[s : s + L.RUN])
-            if run in seen:
-                gone.update(at[s : s + L.RUN])
-            seen.add(run)
+        for s in range(len(at)):
+            for size in (1, 2):  # two lines, or one of 50 words
+                run = tuple(lines[k] for k in at[s : s + size])
+                if len(run) < size or size == 1 and len(re.findall(r"[^\x20\x09-\x0D]+", run[0])) < 50:
+                    continue
+                if run in seen:
+                    gone.update(at[s : s + size])
+                seen.add(run)
         kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
         out[(place[1] if place[0] else None, t)] = (len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept, bool(gone))
     return out
@@ -50,3 +53,15 @@ def test_documents(spark, tmp_path):
 
 def test_a_run_inside_one_document(spark, tmp_path):
     check(spark, tmp_path, spark.createDataFrame([(1, "a\na\na\n\nb\na\na"), (2, "b\na")], "doc_id long, text string"))
+
+
+def test_long_lines_repeat_alone(spark, tmp_path):
+    line = lambda n, w="word": " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, f"a\n{line(50)}\nb"), (2, f"c\n{line(50)}\nd"), (3, line(50)), (4, line(49)), (5, line(49)), (6, f"x\n{line(49)}\ny"), (7, line(3000)), (8, line(3000) + "\n\n" + line(3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(spark, tmp_path, df)
+    assert {r["doc_id"]: r["n_removed"] for r in L.op9_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0, 8: 2}
+
+
+def test_one_passage_in_every_document(spark, tmp_path):
+    check(spark, tmp_path, spark.createDataFrame([(i, f"{i}\nsame line\nand the next\n{i % 7}\nsame line") for i in range(3000)], "doc_id long, text string"))

@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch to a Python worker, where the session leaves Spark's own number: texts are long, and a batch is held several times.
+BATCH = 1000
+SPARKS_BATCH = "10000"
+#: Bits of a sieve, 64 a row: what bounds the table that is broadcast.
+SIEVE = 1 << 22
+
+
 def shipped(spark: SparkSession) -> None:
-    """Sends this package's code to the executors once per context, so that workers started anywhere can import it."""
+    """Sends this package's code to the executors once per context, so that workers started anywhere can import it, and bounds their batches."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if getattr(sc, "_tessera_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -38,11 +48,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, is a temporary folder made and set.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and the
+    master is local, as in tests on one machine, is a temporary folder made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -90,6 +102,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sieve(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """A bitmap of hashes of keys, as a written table of at most SIEVE / 64 rows (word, mask).
+
+    What is not in the sieve is surely not among the keys; what is in it may be.
+    The more keys, the more pass, so an exact join has to follow.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(SIEVE))
+    words = df.select(F.shiftright(bit, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("__bit"))
+    return written(words.groupBy("__word").agg(F.bit_or("__bit").alias("__mask")), "sieve")
+
+
+def sifted(df: DataFrame, held: DataFrame, *keys: Column | str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose keys may be in the sieve, rows whose keys are not): so that only the first have to move to a join."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(SIEVE))
+    joined = df.withColumn("__at", bit).join(F.broadcast(held), F.shiftright(F.col("__at"), 6) == F.col("__word"), "left")  # at most SIEVE / 64 rows
+    passes = F.coalesce(F.call_function("shiftright", F.col("__mask"), (F.col("__at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return joined.where(passes).select(*df.columns), joined.where(~passes).select(*df.columns)
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list, name: str, rows_per_sort: int = 50_000) -> DataFrame:
     """Adds long column `name`: 0, 1, 2, ... within each group, without sorting a whole group in one task.
 

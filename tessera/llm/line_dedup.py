@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, written
+from tessera.llm.common import documents, sieve, sifted, written
 
 RUN = 2
 #: Words of a line that counts as a run by itself.
@@ -80,12 +80,13 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     smaller (key, text digest), or further up in the same one. Null keys come first.
     """
     each = written(fingerprints(df, key, text, run), "prints")
-    # Written, so that the joins have plain exchanges on both sides and a hot line can be split.
+    # Written and merged, so that the joins have plain exchanges on both sides at every size and a hot line can be split.
     shared = written(each.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "shared")
     place = F.struct("key", "digest", F.col("ats")[0].alias("at"))
-    near = extended(each.join(shared, "print", "left_semi"), run).withColumn("place", place)
+    several, _ = sifted(each, sieve(shared, "print"), "print")
+    near = extended(several.join(shared.hint("merge"), "print", "left_semi"), run).withColumn("place", place)
     first = near.groupBy("lines").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("lines", "first")
-    later = near.join(written(first, "firsts"), "lines").where(F.col("place") > F.col("first"))
+    later = near.join(written(first, "firsts").hint("merge"), "lines").where(F.col("place") > F.col("first"))
     return later.groupBy("key", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("gone"))
 
 
@@ -98,10 +99,15 @@ def without(lines: Column, gone: Column) -> Column:
 
 
 def with_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """df with column __gone: the numbers of the lines to delete (null if none)."""
-    gone = repeated_lines(df, key, text, run).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
-    on = F.col(key).eqNullSafe(F.col("__key")) & (_digest(F.coalesce(F.col(text), F.lit(""))) == F.col("__digest"))
-    return df.join(gone, on, "left").drop("__key", "__digest")
+    """df with column __gone: the numbers of the lines to delete (null if none).
+
+    Only rows whose key and digest may have any move to the join.
+    """
+    gone = written(repeated_lines(df, key, text, run).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone")), "gone")
+    digest = _digest(F.coalesce(F.col(text), F.lit("")))
+    some, none = sifted(df, sieve(gone, F.col("__key"), F.col("__digest")), F.col(key), digest)
+    on = F.col(key).eqNullSafe(F.col("__key")) & (digest == F.col("__digest"))
+    return some.join(gone.hint("merge"), on, "left").drop("__key", "__digest").unionByName(none.withColumn("__gone", F.lit(None).cast("array<int>")))
 
 
 def kept_text(text: str) -> Column:

@@ -22,17 +22,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, shuffle_width, written
+from tessera.llm.common import documents, shuffle_width, sieve, sifted, written
 
 LENGTH, GRAM = 50, 20
+#: What a null key counts as.
+LOWEST = -(1 << 63)
 #: Grams in a window; also the most windows in a run.
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text that are worked on at once (a longer document is by itself).
@@ -142,27 +143,36 @@ def _restored(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(raw, k, (e - s) // np.dtype(k).itemsize, s) for k, s, e in zip(kinds, starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids, texts, size = [], [], 0
+def _chunk_rows(batches):
+    """Texts in the order that they come, squeezed as they come into chunks of CHUNK bytes: (chunk, ids, lens, data)."""
+    import pyarrow as pa
+
+    ids, lens, blob, packer, size = [], [], [], None, 0
 
     def row():
-        blob = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
-        return pd.DataFrame({"chunk": [uuid.uuid4().hex], "ids": [ids], "lens": [[len(t) for t in texts]], "data": [blob]})
+        blob.append(packer.flush())
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        columns = ([uuid.uuid4().hex], [ids], [lens], [b"".join(blob)])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "ids", "lens", "data"])
 
     for batch in batches:
-        for i, t in zip(batch["first"].tolist(), batch["body"], strict=True):
+        for i, body in zip(batch.column("first").to_pylist(), batch.column("body"), strict=True):
+            if packer is None:
+                packer = zstandard.ZstdCompressor(level=6).compressobj()
+            held = body.as_buffer()
             ids.append(i)
-            texts.append(bytes(t))
-            size += len(texts[-1])
+            lens.append(held.size)
+            blob.append(packer.compress(held))
+            size += held.size + 16  # an empty text takes room too
             if size >= CHUNK:
                 yield row()
-                ids, texts, size = [], [], 0
+                ids, lens, blob, packer, size = [], [], [], None, 0
     if ids:
         yield row()
 
 
 def _text(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(row["data"]), np.uint8)
     return data, np.asarray(row["ids"], np.int64), np.asarray(row["lens"], np.int64)
 
 
@@ -400,69 +410,103 @@ def _finished(with_text: bool):
                 body = data[s:e].tobytes()
                 kept = data[s:e][~g].tobytes() if g.any() else body
                 spans = int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1))
-                r = [i, hashlib.sha256(body).hexdigest(), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()]
-                out.append([*r, kept.decode("utf-8", "ignore")] if with_text else r)
+                r = [i, hashlib.sha256(body).digest()[:16], int(g.sum()), spans, hashlib.sha256(kept).hexdigest()]
+                out.append([*r, kept.decode("utf-8", "ignore") if spans else None] if with_text else r)
         return pd.DataFrame(out, columns=["first", "digest", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     return run
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """For each different text: first (its least key), digest (its SHA-256), n_removed, n_spans, kept_sha256[, kept].
+def _least(key: str) -> Column:
+    return F.coalesce(F.col(key), F.lit(LOWEST))
+
+
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
+
+
+def _digest(text: str) -> Column:
+    """Half of the SHA-256."""
+    return F.unhex(F.substring(F.sha2(_body(text), 256), 1, 32))
+
+
+def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(keys, later): (digest, first) of every row, and distinct of those whose text stands in a row of a smaller key. Written tables without texts."""
+    keys = written(df.select(_digest(text).alias("digest"), _least(key).alias("first")), "keys")
+    # Written and merged, so that the join has plain exchanges on both sides and a hot text can be split.
+    groups = written(keys.groupBy("digest").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("digest", "least"), "groups")
+    return keys, written(keys.join(groups.hint("merge"), "digest").where("first > least").select("digest", "first").distinct(), "later")
+
 
-    Judged on the whole UTF-8 bytes, for the document `first`. Null text: empty.
-    A null key counts as the smallest long. kept leaves out bytes of characters
-    that a cut goes through. An empty table gives an empty one.
+def without_copies(df: DataFrame, keys: DataFrame, later: DataFrame, key: str, text: str) -> DataFrame:
+    """(first, digest, body) of the rows that are no later copies. Bodies stay where they are, but for those that the sieve of copies holds by chance."""
+    both = ["digest", "first"]
+    held = sieve(later, *both)
+    chance = written(sifted(keys, held, *both)[0].join(later.hint("merge"), both, "left_anti").distinct(), "chance")
+    own = df.select(_least(key).alias("first"), _digest(text).alias("digest"), _body(text).cast("binary").alias("body"))
+    maybe, sure = sifted(own, held, *both)
+    return sure.unionByName(sifted(maybe, sieve(chance, *both), *both)[0].join(chance.hint("merge"), both, "left_semi"))
+
+
+def repeats(df: DataFrame, copies: tuple[DataFrame, DataFrame], key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """For each different text: first (its least key), digest (half of its SHA-256), n_removed, n_spans, kept_sha256[, kept].
+
+    copies: later_copies() of df. Judged on the whole UTF-8 bytes, for the document
+    `first`. Null text: empty. A null key counts as the smallest long. kept is null
+    where nothing goes, and leaves out bytes of characters that a cut goes
+    through. An empty table gives an empty one.
     """
     spark = df.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = df.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("first"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("digest"), body.cast("binary").alias("body"))
-    firsts = own.groupBy("digest").agg(F.min("first").alias("first"))
-    chunks = written(
-        own.join(firsts, ["digest", "first"], "left_semi").select("first", "body").mapInPandas(_chunk_rows, "chunk string, ids array<long>, lens array<long>, data binary"),
-        "chunks",
-    )
+    chunks = written(without_copies(df, *copies, key, text).mapInArrow(_chunk_rows, "chunk string, ids array<long>, lens array<long>, data binary"), "chunks")
     buckets = max(shuffle_width(spark), chunks.count() // 4)
     named = chunks.mapInPandas(_named(buckets), "chunk string, bucket long, once binary, many binary")
     shared = named.groupBy("bucket").applyInPandas(_shared, "chunk string, bucket long, names binary")
     sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_sent(buckets), "chunk string, bucket long, runs binary")
     gone = sent.groupBy("bucket").applyInPandas(_gone, "chunk string, ranges binary")
-    schema = "first long, digest string, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = "first long, digest binary, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     done = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_finished(with_text), schema)
     # Written, so that the join with the rows has plain exchanges on both sides and a hot text can be split.
     return written(done.dropDuplicates(["digest"]), "repeats")
 
 
-def _joined(df: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
-    """df's rows with the columns of found; __later: the row is a later copy of its text."""
-    own = df.withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    found = found.select([F.col(c).alias(f"__{c}" if c != "digest" else "__of") for c in found.columns])
-    later = F.coalesce(F.col(key), F.lit(-(1 << 63))) > F.col("__first")
-    return own.join(found, F.col("__digest") == F.col("__of")).withColumn("__later", later)
-
-
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the repeated bytes cut out of `text`; rows of which nothing is left go, empty texts stay.
 
     Rows that repeat both key and text are one document: neither cuts the other.
+    Only rows that may change move to the join with what is left of them.
     """
-    own = _joined(df, key, text, repeats(df, key, text, with_text=True))
-    whole = F.col("__later") & (F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= LENGTH)
-    kept = F.when(whole, F.lit("")).when(F.col("__n_removed") == 0, F.col(text)).otherwise(F.col("__kept"))
-    cut = own.withColumn("__cut", whole | (F.col("__n_removed") > 0)).withColumn(text, kept)
-    return cut.where(~F.col("__cut") | (F.col(text) != "")).select(*df.columns)
+    copies = later_copies(df, key, text)
+    cut = repeats(df, copies, key, text, with_text=True).where("n_removed > 0").select("digest", "first", "kept")
+    changes = cut.unionByName(copies[1].withColumn("kept", F.lit("")))
+    changes = changes.select(F.col("digest").alias("__digest"), F.col("first").alias("__first"), F.col("kept").alias("__kept"))
+    at = [_digest(text), _least(key)]
+    some, same = sifted(df, sieve(changes, "__digest", "__first"), *at)
+    met = some.join(changes.hint("merge"), (at[0] == F.col("__digest")) & (at[1] == F.col("__first")), "left")
+    changed = F.col("__kept").isNotNull() & (F.octet_length(_body(text)) >= LENGTH)
+    left = met.where(~changed | (F.col("__kept") != "")).withColumn(text, F.when(changed, F.col("__kept")).otherwise(F.col(text)))
+    return left.select(*df.columns).unionByName(same)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes.
+
+    Null texts count as empty. A null doc_id counts as smaller than any other. Rows
+    that repeat doc_id and text are one document; different texts of one doc_id
+    never cut each other. Later copies of a text of LENGTH bytes go whole. An
+    empty table gives an empty one. Other columns are not read.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    own = _joined(docs, "doc_id", "text", repeats(docs))
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    whole = F.col("__later") & (size >= LENGTH)
-    short = F.col("__later") & (size < LENGTH)
-    return own.select(
+    copies = later_copies(docs)
+    found = repeats(docs, copies)
+    # No texts move here: sizes and digests are taken first.
+    own = docs.select("doc_id", F.octet_length(_body("text")).cast("long").alias("n_bytes"), _digest("text").alias("digest"))
+    met = own.join(found.hint("merge"), "digest")
+    later = _least("doc_id") > F.col("first")
+    whole, short = later & (F.col("n_bytes") >= LENGTH), later & (F.col("n_bytes") < LENGTH)
+    return met.select(
         "doc_id",
-        size.alias("n_bytes"),
-        F.when(whole, size).when(short, 0).otherwise(F.col("__n_removed")).alias("n_removed"),
-        F.when(whole, 1).when(short, 0).otherwise(F.col("__n_spans")).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("__kept_sha256")).alias("kept_sha256"),
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).when(short, 0).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(whole, 1).when(short, 0).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )

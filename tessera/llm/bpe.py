@@ -8,6 +8,7 @@ tests hold the two against each other.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,10 @@ import tiktoken
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of the pattern. The pattern's engine recurses over a run of it, so runs of LONG or more are not given to it.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 50_000
+RUN = re.compile(f"[{BLANK}]{{64}}[{BLANK}]*+")
 
 
 def _byte_of() -> dict[str, int]:
@@ -37,8 +42,18 @@ def encoder(path: str):
     ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
     made = tiktoken.Encoding("json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
-    def ids(text: str) -> np.ndarray:
+    def matched(text: str) -> np.ndarray:
         special = "all" if any(a in text for a in added) else set()
         return made.encode_to_numpy(text, allowed_special=special, disallowed_special=())
 
+    def ids(text: str) -> np.ndarray:
+        at, parts = 0, []
+        for run in RUN.finditer(text) if len(text) >= LONG else ():
+            s, e = run.span()
+            if e - s >= LONG:  # one token but for its last character, which goes with what follows
+                stop = e if e == len(text) or any(text.startswith(a, e) for a in added) else e - 1
+                parts += [matched(text[at:s]), np.array(made._core_bpe.encode_single_piece(text[s:stop].encode()), np.uint32)]
+                at = stop
+        return np.concatenate((*parts, matched(text[at:]))) if parts else matched(text)
+
     return ids

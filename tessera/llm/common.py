@@ -7,8 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,18 +62,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_recorded: list[list[str]] = []
+_recording: ContextVar[tuple[list[str], ...]] = ContextVar("recording", default=())
 
 
 @contextmanager
-def recorded() -> Iterator[list[str]]:
-    """Lists the paths that written() makes meanwhile."""
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes inside are deleted at the end, but for those passed to the function that this gives.
+
+    Whatever is read later has to be kept: a lazy frame doesn't outlive its tables.
+    """
     paths: list[str] = []
-    _recorded.append(paths)
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    token = _recording.set((*_recording.get(), paths))
     try:
-        yield paths
+        yield keep
     finally:
-        _recorded.remove(paths)
+        _recording.reset(token)
+        removed(spark, [p for p in paths if p not in kept])
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -86,10 +97,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a compressed table in the shared folder: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
-    for paths in _recorded:
+    for paths in _recording.get():
         paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -126,14 +139,16 @@ def gapless_rank(df: DataFrame, group: list[str], order: list, name: str, rows_p
 
     Rows of a group are dealt to sub-groups by a hash of `order`; each sub-group
     is sorted by itself and starts where the sub-groups before it end. The table
-    of starts has a row for each sub-group (about one for rows_per_sort rows).
+    of starts has a row for each sub-group: one for rows_per_sort rows of a group.
     The ranks follow (sub-group, order), so they are gapless but not ordered by
     `order` alone. Rows that tie in `order` get adjacent ranks.
     """
     from pyspark.sql import Window
 
-    subs = max(8, -(-df.count() // rows_per_sort))
-    dealt = df.withColumn("__sub", F.pmod(F.xxhash64(*order), F.lit(subs)).cast("int"))
+    # A group has as many sub-groups as its own rows call for.
+    sizes = df.groupBy(*[F.col(c).alias(f"__g_{c}") for c in group]).agg(F.ceil(F.count(F.lit(1)) / rows_per_sort).cast("long").alias("__subs"))
+    sized = df.join(F.broadcast(sizes), [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group], "left")  # callers group by a bounded set of values
+    dealt = sized.withColumn("__sub", F.pmod(F.xxhash64(*order), F.col("__subs")).cast("int")).drop("__subs", *[f"__g_{c}" for c in group])
     keys = [*group, "__sub"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)

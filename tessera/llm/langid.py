@@ -4,14 +4,16 @@ Letters are lower-cased, everything else counts as a gap. Counts of n-grams of
 1 to 3 letters, hashed to SLOTS, become 1 + ln(count), times the inverse
 document frequency, at length one. Each language has several centroids, from
 spherical k-means over its own texts; a text takes the language of the centroid
-of largest cosine, and is rejected if it is much farther from it than any
-text learned from.
+of largest cosine, and is rejected if it is much farther from it than texts of
+its size that were learned from: a short text is far from everything, so the cut
+is taken for each size by itself, from the texts and from passages of them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,14 @@ SLOTS = 1 << 13
 #: Texts learned from, at most so many a language: those of least hash of their key.
 SAMPLE = 300
 CENTROIDS = 4
-#: A text is rejected below so many times the least cosine among the texts learned from.
-SLACK = 0.25
+#: A text is rejected below so many times the cosine that LOW of the learned texts and passages of its size don't reach.
+SLACK, LOW = 0.6, 0.02
+#: But no cut is above this: a text that repeats one word is far from its own language, too.
+TOP = 0.35
+#: Letters of the passages that the cuts of smaller sizes come from.
+PASSAGES = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
+#: Sizes are told apart by the power of two of the n-grams.
+SIZES = 40
 UNKNOWN = "und"
 #: Code points that are counted at once.
 BLOCK = 1 << 20
@@ -65,6 +73,11 @@ def counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def sizes(counted: np.ndarray) -> np.ndarray:
+    """The power of two of the n-grams in each row of counts."""
+    return np.log2(np.maximum(counted.sum(axis=1), 1)).astype(np.int64).clip(0, SIZES - 1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm > 0, norm, 1)
@@ -75,7 +88,7 @@ class Model:
     languages: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    least: np.ndarray  # cosine under which a text is rejected, by centroid
+    least: np.ndarray  # cosine under which a text is rejected, by centroid and size
 
     def vectors(self, counted: np.ndarray) -> np.ndarray:
         """Turns counts into unit vectors, in place."""
@@ -92,7 +105,7 @@ class Model:
         languages, scores, rejected = [], np.zeros(len(texts)), np.ones(len(texts), bool)
         for at in range(0, len(texts), 256):
             counted = counts(texts[at : at + 256])
-            some = counted.any(axis=1)
+            some, size = counted.any(axis=1), sizes(counted)
             if not len(self.languages):
                 languages += [UNKNOWN] * len(some)
                 continue
@@ -101,7 +114,7 @@ class Model:
             score = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
             languages += [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
             scores[at : at + 256] = np.where(some, score, 0)
-            rejected[at : at + 256] = ~some | (score < self.least[best])
+            rejected[at : at + 256] = ~some | (score < self.least[best, size])
         return languages, scores, rejected
 
 
@@ -117,19 +130,23 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def fit_rows(labels: list[str], counted: np.ndarray) -> Model:
-    """A model from labelled counts, which are overwritten."""
-    idf = (np.log((1 + len(labels)) / (1 + (counted > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model([], idf, np.zeros((0, SLOTS), np.float32), np.zeros(0))
-    if not len(labels):
+def fit_rows(labels: list[str], counted: np.ndarray, passage: np.ndarray | None = None) -> Model:
+    """A model from labelled counts, which are overwritten. Rows where `passage` holds only serve the cuts."""
+    whole = np.ones(len(labels), bool) if passage is None else ~passage
+    size = sizes(counted)
+    idf = (np.log((1 + whole.sum()) / (1 + (counted[whole] > 0).sum(axis=0))) + 1).astype(np.float32)
+    model = Model([], idf, np.zeros((0, SLOTS), np.float32), np.zeros((0, SIZES)))
+    if not whole.any():
         return model
     x, names = model.vectors(counted), np.array(labels, object)
     centres, least = [], []
-    for language in sorted(set(labels)):
-        own = x[names == language]
-        c = clustered(own, CENTROIDS)
+    for language in sorted(set(names[whole])):
+        own = names == language
+        c = clustered(x[own & whole], CENTROIDS)
         centres.append(c)
-        least += [SLACK * float((own @ c.T).max(axis=1).min())] * len(c)
+        near = (x[own] @ c.T).max(axis=1)
+        cuts = [min(TOP, SLACK * float(np.quantile(near[size[own] == k], LOW))) if (size[own] == k).any() else 0.0 for k in range(SIZES)]
+        least += [np.maximum.accumulate(cuts)] * len(c)  # more text is never farther
         model.languages += [language] * len(c)
     model.centroids, model.least = np.concatenate(centres).astype(np.float32), np.array(least)
     return model
@@ -139,38 +156,40 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     """A model from the labelled rows of df (those where `learn` holds), per_language texts of each language at most.
 
     Rows with null key, text or label and texts without letters teach nothing.
-    Which rows are taken depends on their keys alone. An empty table gives a
-    model that knows no language.
+    Which rows are taken depends on their keys and texts alone; rows that repeat
+    both teach once. An empty table gives a model that knows no language.
     """
     shipped(df.sparkSession)
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    # Hashes under a bound that twice as many rows as needed are expected to meet: only those are ranked.
-    sizes = rows.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__rows"))  # a row for each language
-    place = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
-    drawn = rows.select(key, lang, place.alias("__place")).join(F.broadcast(sizes), F.col(lang) == F.col("__lang"))
-    drawn = drawn.where(F.col("__place") * F.col("__rows") < 2.0 * per_language)
-    nth = F.row_number().over(Window.partitionBy(lang).orderBy("__place", key))
-    taken = drawn.withColumn("__nth", nth).where(F.col("__nth") <= per_language).select(key).distinct()
-    sample = rows.select(key, lang, text).join(F.broadcast(taken), key)  # per_language keys a language
+    place = F.shiftrightunsigned(F.xxhash64(key, text), 11) / F.lit(float(1 << 53))
+    placed = rows.select(F.col(lang).alias("__lang"), place.alias("__place"))
+    # Hashes under a bound that twice as many different rows as needed are expected to meet: only those are ranked.
+    found = placed.groupBy("__lang").agg(F.approx_count_distinct("__place", 0.02).alias("__rows"))  # a row for each language
+    drawn = placed.join(F.broadcast(found), "__lang").where(F.col("__place") * F.col("__rows") < 2.0 * per_language).select("__lang", "__place").distinct()
+    nth = F.row_number().over(Window.partitionBy("__lang").orderBy("__place"))
+    taken = drawn.withColumn("__nth", nth).where(F.col("__nth") <= per_language).select("__lang", "__place")  # per_language rows a language
+    met = rows.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), place.alias("__place")).join(F.broadcast(taken), ["__lang", "__place"])
+    sample = met.groupBy("__lang", "__place").agg(F.min("__text").alias("__text"))
 
     def vectors(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                counted = counts(list(part[text]))
+            for language, body in zip(batch["__lang"], batch["__text"], strict=True):
+                letters = list(islice((i for i, c in enumerate(body) if c.isalpha()), PASSAGES[-1]))
+                parts = [body, *(body[: letters[n - 1] + 1] for n in PASSAGES if n <= len(letters))]
+                counted = counts(parts)
                 slots = [np.flatnonzero(c).astype("<u2") for c in counted]
                 values = [c[s].astype("<f4").tobytes() for c, s in zip(counted, slots, strict=True)]
-                yield pd.DataFrame({"lang": part[lang].to_numpy(), "slots": [s.tobytes() for s in slots], "counts": values})
+                yield pd.DataFrame({"lang": language, "passage": np.arange(len(parts)) > 0, "slots": [s.tobytes() for s in slots], "counts": values})
 
-    # At most per_language rows a language, each of at most 6 bytes a slot.
-    got = sample.mapInPandas(vectors, "lang string, slots binary, counts binary").where(F.octet_length("slots") > 0).collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["counts"])))
+    # At most 1 + len(PASSAGES) rows for each of per_language texts a language, each of at most 6 bytes a slot.
+    got = sample.mapInPandas(vectors, "lang string, passage boolean, slots binary, counts binary").where(F.octet_length("slots") > 0).collect()
+    got.sort(key=lambda r: (r["lang"], r["passage"], bytes(r["slots"]), bytes(r["counts"])))
     counted = np.zeros((len(got), SLOTS), np.float32)
     for row, r in enumerate(got):
         counted[row, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
-    return fit_rows([r["lang"] for r in got], counted)
+    return fit_rows([r["lang"] for r in got], counted, np.array([r["passage"] for r in got], bool))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -199,6 +218,11 @@ def held_out(key: str) -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score and rejected; see fit() and identify().
+
+    Rows that repeat doc_id or text are predicted each. Ties between centroids go
+    to the first. Null doc_ids are not held out and teach nothing.
+    """
     docs = documents(spark, sf_dir)
     model = fit(docs, learn=~held_out("doc_id"))
     shown = identify(docs.select("doc_id", "text"), model).drop("text")

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, sieve, sifted, written
+from tessera.llm.common import documents, scratch, sieve, sifted, written
 
 RUN = 2
 #: Words of a line that counts as a run by itself.
@@ -103,9 +103,11 @@ def with_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run: in
 
     Only rows whose key and digest may have any move to the join.
     """
-    gone = written(repeated_lines(df, key, text, run).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone")), "gone")
+    with scratch(df.sparkSession) as keep:
+        gone = keep(written(repeated_lines(df, key, text, run).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone")), "gone"))
+        held = keep(sieve(gone, "__key", "__digest"))
     digest = _digest(F.coalesce(F.col(text), F.lit("")))
-    some, none = sifted(df, sieve(gone, F.col("__key"), F.col("__digest")), F.col(key), digest)
+    some, none = sifted(df, held, F.col(key), digest)
     on = F.col(key).eqNullSafe(F.col("__key")) & (digest == F.col("__digest"))
     return some.join(gone.hint("merge"), on, "left").drop("__key", "__digest").unionByName(none.withColumn("__gone", F.lit(None).cast("array<int>")))
 

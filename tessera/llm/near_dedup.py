@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, shipped, shuffle_width, written
+from tessera.llm.common import checkpointed, scratch, shipped, shuffle_width, sieve, sifted, written
 from tessera.llm.similarity import linked
 from tessera.llm.simhash import HOT, covering_masks, hashes, majority, signed, words_of
 from tessera.llm.spotsigs import length_class
@@ -300,6 +300,10 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     Rows that repeat both key and text are one document and stay or go together.
     """
-    classes = near_duplicates(df, key, text, threshold)
-    gone = checkpointed(classes.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__key"), F.col("digest").alias("__digest")).distinct())
-    return df.join(_small(gone), F.col(key).eqNullSafe(F.col("__key")) & (_digest(text) == F.col("__digest")), "left_anti")
+    at = [F.col(key), _digest(text)]
+    with scratch(df.sparkSession) as keep:
+        classes = near_duplicates(df, key, text, threshold)
+        gone = keep(written(classes.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__key"), F.col("digest").alias("__digest")).distinct(), "neargone"))
+        held = keep(sieve(gone, "__key", "__digest"))
+    some, stay = sifted(df, held, *at)
+    return some.join(gone.hint("merge"), at[0].eqNullSafe(F.col("__key")) & (at[1] == F.col("__digest")), "left_anti").unionByName(stay)

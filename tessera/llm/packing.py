@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoder
-from tessera.llm.common import documents, gapless_rank, written
+from tessera.llm.common import documents, gapless_rank, shipped, written
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and how sharply a covered length loses weight.
@@ -42,6 +42,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     full pieces after a first one that takes the remainder. Repeated rows give
     repeated pieces.
     """
+    shipped(df.sparkSession)
     path = tokenizer or tokenizer_path()
 
     def cut(text: str | None, encode) -> list[tuple[int, int, int, int]]:
@@ -186,8 +187,6 @@ def rounded(histogram: dict[int, int], capacity: int, solve, levels: int) -> Cou
         for length, n in left.items():
             count[length] = n
         before = left.total()
-        if before < 50 * len(left) ** 0.5:
-            break
         for config, x in sorted(solve(count).items(), key=lambda cx: (-cx[1], cx[0])):
             of = Counter(config)
             n = min(int(x), *(left[length] // k for length, k in of.items()))
@@ -196,7 +195,7 @@ def rounded(histogram: dict[int, int], capacity: int, solve, levels: int) -> Cou
                 for length, k in of.items():
                     left[length] -= k * n
         left = +left
-        if left.total() > 0.9 * before:
+        if not left or left.total() > 0.9 * before:  # hardly a share reaches a whole sequence any more: rounding again would place next to nothing
             break
     plan.update(best_fit(left, capacity))
     return plan
@@ -268,4 +267,10 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", token
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of CAPACITY tokens.
+
+    Null texts count as empty: one piece of END alone. Rows that repeat doc_id or
+    text are packed each; null doc_ids too. Ties in length get any rank. An
+    empty table gives an empty one.
+    """
     return pack_documents(documents(spark, sf_dir))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, shuffle_width, sieve, sifted, written
+from tessera.llm.common import documents, scratch, shipped, shuffle_width, sieve, sifted, written
 
 LENGTH, GRAM = 50, 20
 #: What a null key counts as.
@@ -457,6 +457,7 @@ def repeats(df: DataFrame, copies: tuple[DataFrame, DataFrame], key: str = "doc_
     through. An empty table gives an empty one.
     """
     spark = df.sparkSession
+    shipped(spark)
     chunks = written(without_copies(df, *copies, key, text).mapInArrow(_chunk_rows, "chunk string, ids array<long>, lens array<long>, data binary"), "chunks")
     buckets = max(shuffle_width(spark), chunks.count() // 4)
     named = chunks.mapInPandas(_named(buckets), "chunk string, bucket long, once binary, many binary")
@@ -475,12 +476,14 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Rows that repeat both key and text are one document: neither cuts the other.
     Only rows that may change move to the join with what is left of them.
     """
-    copies = later_copies(df, key, text)
-    cut = repeats(df, copies, key, text, with_text=True).where("n_removed > 0").select("digest", "first", "kept")
-    changes = cut.unionByName(copies[1].withColumn("kept", F.lit("")))
-    changes = changes.select(F.col("digest").alias("__digest"), F.col("first").alias("__first"), F.col("kept").alias("__kept"))
+    with scratch(df.sparkSession) as keep:
+        copies = later_copies(df, key, text)
+        cut = repeats(df, copies, key, text, with_text=True).where("n_removed > 0").select("digest", "first", "kept")
+        changes = cut.unionByName(copies[1].withColumn("kept", F.lit("")))
+        changes = keep(written(changes.select(F.col("digest").alias("__digest"), F.col("first").alias("__first"), F.col("kept").alias("__kept")), "changes"))
+        held = keep(sieve(changes, "__digest", "__first"))
     at = [_digest(text), _least(key)]
-    some, same = sifted(df, sieve(changes, "__digest", "__first"), *at)
+    some, same = sifted(df, held, *at)
     met = some.join(changes.hint("merge"), (at[0] == F.col("__digest")) & (at[1] == F.col("__first")), "left")
     changed = F.col("__kept").isNotNull() & (F.octet_length(_body(text)) >= LENGTH)
     left = met.where(~changed | (F.col("__kept") != "")).withColumn(text, F.when(changed, F.col("__kept")).otherwise(F.col(text)))
@@ -496,8 +499,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty table gives an empty one. Other columns are not read.
     """
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    copies = later_copies(docs)
-    found = repeats(docs, copies)
+    with scratch(spark) as keep:
+        found = keep(repeats(docs, later_copies(docs)))
     # No texts move here: sizes and digests are taken first.
     own = docs.select("doc_id", F.octet_length(_body("text")).cast("long").alias("n_bytes"), _digest("text").alias("digest"))
     met = own.join(found.hint("merge"), "digest")

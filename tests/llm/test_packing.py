@@ -31,10 +31,14 @@ def check(spark, folder, rows):
     return len(held), -(-sum(w[3] for w in want) // 2048)
 
 
-def test_documents(spark):
+def test_documents(spark, monkeypatch):
+    solved = []
+    for name in ("levelled", "averaged"):
+        monkeypatch.setattr(P, name, lambda count, solve=getattr(P, name): solved.append(count.sum()) or solve(count))
     d = "/root/testdata/sf0.01"
     used, least = check(spark, d, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
     assert used <= least + 1
+    assert solved  # the configuration LP is solved at every size
 
 
 def test_awkward(spark, tmp_path, awkward, nothing):
@@ -77,3 +81,38 @@ def test_ids_equal_the_library():
     for _ in range(400):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
         assert encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_of_one_kind():
+    encode = encoder(P.tokenizer_path())
+    for text in (" " * 2_000_000, "\n" * 2_000_000 + "a", "a" + " \n" * 60_000 + "\u3000b", "x" * 2_000_000, "a" + "\t" * 70_000 + "<|endoftext|>" + " " * 60_000 + "é", " " * 49_999 + "a"):
+        assert encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_the_lp_is_solved_for_any_histogram(monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "levelled", lambda count, solve=P.levelled: seen.append(1) or solve(count))
+    for histogram in ({1: 1}, {2048: 3}, {700: 1, 900: 2}, {1: 5000}):
+        plan = P.packed(histogram)
+        assert Counter({x: n for x in histogram for n in [sum(k * c.count(x) for c, k in plan.items())]}) == Counter(histogram)
+    assert len(seen) == 4
+
+
+def test_few_pieces_are_packed_as_well_as_can_be():
+    """Against every partition of up to eight pieces."""
+    rng = random.Random(3)
+
+    def fewest(left, bins):
+        if not left:
+            return len(bins)
+        best = len(left) + len(bins)
+        for k, b in enumerate(bins):
+            if b + left[0] <= 100:
+                best = min(best, fewest(left[1:], [*bins[:k], b + left[0], *bins[k + 1 :]]))
+        return min(best, fewest(left[1:], [*bins, left[0]]))
+
+    over = 0
+    for _ in range(30):
+        lengths = [rng.randrange(10, 90) for _ in range(8)]
+        over += P.packed(Counter(lengths), 100).total() - fewest(lengths, [])
+    assert over <= 3

@@ -35,13 +35,12 @@ SECTIONS = frozenset("article main section nav header footer aside form menu".sp
 #: Words that mark what is around an article rather than in it.
 TELLING = frozenset("copyright rights reserved cookie cookies consent subscribe newsletter login signup menu share advertisement sponsored comments comment reply privacy terms search related read follow".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
-#: The content of an iframe is never shown; one that isn't closed is passed over as a tag, like other foreign and media tags.
-CLOSED_FRAME = re.compile(r"</iframe\s*>", re.IGNORECASE)
+#: A tag's name, and what follows up to the ">" that ends it: quotes count only around a value. No place is tried twice.
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+INSIDE = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+""")
+COMMENT_END = re.compile(r"--!?>")
+#: The content of these is passed over to their end tag; that of an iframe only if there is one.
+CLOSED = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in (*RAW, "iframe")}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
@@ -49,19 +48,60 @@ WORD = re.compile(r"[a-z]+")
 @dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]  # from the root down
-    words: tuple[str, ...]  # class, id and role words of all ancestors
+    own: str  # tag of the innermost ancestor
+    near: str  # the innermost ancestor among SECTIONS
+    tags: tuple[str, ...]  # of all ancestors, each once
+    words: tuple[str, ...]  # class, id and role words of all ancestors, each once
     closest: tuple[str, ...]  # of the innermost ancestor that has any
     linked: float  # share of the characters in links
 
 
+class _Open:
+    """The open elements: what a block needs of them is kept as they open and close, so that depth costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = []  # tag, section, own words, closest words
+        self.tags: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        _, near, _, closest = self.stack[-1] if self.stack else ("", "none", (), ())
+        self.stack.append((tag, tag if tag in SECTIONS else near, words, words or closest))
+        for x, count in ((tag, self.tags), *((w, self.words) for w in words)):
+            count[x] = count.get(x, 0) + 1
+
+    def pop(self) -> None:
+        tag, _, words, _ = self.stack.pop()
+        for x, count in ((tag, self.tags), *((w, self.words) for w in words)):
+            count[x] -= 1
+            if not count[x]:
+                del count[x]
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of that name and all inside it; nothing if none is open."""
+        if tag in self.tags:
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop()
+
+    def block(self, text: str, linked: int) -> Block:
+        own, near, _, closest = self.stack[-1] if self.stack else ("none", "none", (), ())
+        return Block(text, own, near, tuple(self.tags), tuple(self.words), closest, min(1.0, linked / len(text)))
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with references decoded and each white-space run as one space."""
+    """The leaf blocks of a page in order, with references decoded and each white-space run as one space.
+
+    Tags are read as HTML does, in time proportional to the page: a tag that never
+    ends and what a script, style, template or textarea without an end tag holds
+    reach to the end of the page; other elements that are left open, or close
+    themselves, end nothing.
+    """
     if not page:
         return []
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    open_ = _Open()
     linked = links = 0
 
     def flush():
@@ -69,66 +109,86 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, tuple(t for t, _ in stack), tuple(w for _, ws in stack for w in ws), next((ws for _, ws in reversed(stack) if ws), ()), min(1.0, linked / len(text))))
+                found.append(open_.block(text, linked))
             parts.clear()
         linked = 0
 
     def add(text):
         nonlocal linked
-        parts.append(text)
-        if links:
-            linked += len(text)
-
-    at, frames = 0, True
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m["tag"] is None:
+        if text:
+            parts.append(text)
+            if links:
+                linked += len(text)
+
+    at, size, frames = 0, len(page), True
+    while (mark := page.find("<", at)) >= 0:
+        name = NAME.match(page, mark)
+        if name is None:
+            kind = page[mark + 1 : mark + 2]
+            if kind not in ("!", "?", "/") or mark + 2 >= size:  # no markup
+                add(page[at : mark + 1])
+                at = mark + 1
+                continue
+            add(page[at:mark])
+            if page.startswith("<!--", mark):
+                short = next((len(x) for x in (">", "->") if page.startswith(x, mark + 4)), 0)
+                over = None if short else COMMENT_END.search(page, mark + 4)
+                at = mark + 4 + short if short else over.end() if over else size
+            else:
+                over = page.find(">", mark + 2)
+                at = over + 1 if over >= 0 else size
             continue
-        tag = m["tag"].lower()
-        if tag == "a":
-            links = 0 if m["end"] else 1
-        elif tag == "iframe" and frames and not m["end"] and not m["rest"].endswith("/"):
-            close = CLOSED_FRAME.search(page, at)
-            frames = close is not None
-            at = close.end() if close else at
+        add(page[at:mark])
+        stop = INSIDE.match(page, name.end()).end()
+        at = stop + 1
+        if stop >= size:  # the tag never ends
+            at = size
+            break
+        tag, ends, rest = name[1].lower(), page[mark + 1] == "/", page[name.end() : stop]
+        if tag in CLOSED and not ends:
+            if tag == "iframe" and (not frames or rest.endswith("/")):
+                continue
+            over = CLOSED[tag].search(page, at)
+            if over:
+                last = page.find(">", over.end())
+                at = last + 1 if last >= 0 else size
+            elif tag == "iframe":
+                frames = False
+            else:
+                at = size
+        elif tag == "a":
+            links = 0 if ends else 1
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
-            if m["end"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+            if ends:
+                open_.close(tag)
                 links = 0
             elif tag not in VOID:
-                if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                    stack.pop()
-                if stack and stack[-1][0] in ENDS.get(tag, ()):
-                    stack.pop()
-                words = tuple(w for a in ATTRIBUTE.findall(m["rest"]) for w in WORD.findall("".join(a).lower())) if m["rest"] else ()
-                stack.append((tag, words))
-    if at < len(page):
-        add(page[at:])
+                if open_.stack and open_.stack[-1][0] == "p":  # a block ends an open paragraph
+                    open_.pop()
+                if open_.stack and open_.stack[-1][0] in ENDS.get(tag, ()):
+                    open_.pop()
+                open_.push(tag, tuple(w for a in ATTRIBUTE.findall(rest) for w in WORD.findall("".join(a).lower())) if rest else ())
+    add(page[at:])
     flush()
     return found
 
 
 def features(chain: list[Block]) -> list[list[str]]:
     out = []
-    headings = [i for i, b in enumerate(chain) if b.tags and b.tags[-1] == "h1"]
+    headings = [i for i, b in enumerate(chain) if b.own == "h1"]
     for i, b in enumerate(chain):
         n = b.text.count(" ") + 1
-        own = b.tags[-1] if b.tags else "none"
+        own = b.own
         size = 0 if n < 3 else 1 if n < 6 else 2 if n < 11 else 3 if n < 21 else 4 if n < 51 else 5
         links = 0 if b.linked == 0 else 1 if b.linked < 0.3 else 2 if b.linked < 0.7 else 3
         f = ["any", f"own={own}", f"size={size}", f"links={links}", f"{own}/{size}", f"links={links}/{size}"]
-        f += {f"in={t}" for t in b.tags}
-        f += {f"word={w}" for w in b.words}
+        f += [f"in={t}" for t in b.tags]
+        f += [f"word={w}" for w in b.words]
         f += {f"closest={w}" for w in b.closest}
-        f.append("near=" + next((t for t in reversed(b.tags) if t in SECTIONS), "none"))
+        f.append(f"near={b.near}")
         f.append("stop" if b.text[-1] in ".!?…:;\"'”»)" else "open")
         if "©" in b.text or "(c)" in b.text.lower():
             f.append("rights")
@@ -375,6 +435,12 @@ def extract(df: DataFrame, html: str = "html", name: str = "text", crf: Crf | No
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text and n_chars.
+
+    Null and empty pages, and pages without an article, have an empty text.
+    Repeated rows are worked on each. Pages of any length are read whole. A tie
+    between labellings goes to leaving a block out. An empty table gives an empty one.
+    """
     shipped(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     shown = extract(pages)

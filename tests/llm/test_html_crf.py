@@ -1,5 +1,6 @@
 import itertools
-import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -7,6 +8,37 @@ import pytest
 from tessera.llm import html_crf as H
 
 
+class Article(HTMLParser):
+    """The lines of a page's article, read by the standard library's parser instead of the module's."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts, self.lines, self.skip = 0, [], [], 0
+
+    def broken(self):
+        line = " ".join("".join(self.parts).split())
+        self.lines += [line] * bool(line)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "textarea", "template")
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in H.BLOCKS and self.depth:
+            self.broken()
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "textarea", "template")
+        if tag in H.BLOCKS and self.depth:
+            self.broken()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.parts.append(data)
+
+
 def test_held_out_layouts():
     pages = H.labelled_pages(200, seed=99)
     right = sum(H.main_text(p, H.model()) == "\n".join(" ".join(x.split()) for x in t.split("\n")) for p, t in pages)
@@ -19,8 +51,10 @@ def test_pages(spark):
     got = H.op4_html_extraction(spark, d).collect()
     assert len(got) == len(pages)
     for r in got:
-        inside = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.DOTALL)[1]
-        assert r["text"] == "\n".join(b.text for b in H.blocks(inside)) and r["n_chars"] == len(r["text"])
+        reader = Article()
+        reader.feed(pages[r["page_id"]])
+        reader.close()
+        assert r["text"] == "\n".join(reader.lines) and r["n_chars"] == len(r["text"])
 
 
 def test_viterbi_is_the_best_of_all_labellings():
@@ -71,7 +105,31 @@ def test_awkward(spark):
         ("<p>One</p><video src=x><p>Two.</p>", ["One", "Two."]),
         ("<p>Of <math><mi>x</mi></math> and <object>more</object></p><noscript><p>Plain.</p></noscript>", ["Of x and more", "Plain."]),
         ("<p>One</p><script>if (a < b) '<p>'", ["One"]),
+        ("<p>One.</p><svg/><p>Two two two.</p><math/><p>Three.</p>", ["One.", "Two two two.", "Three."]),
+        ("<video-player src=x></video-player><p>After.</p>", ["After."]),
+        ("<object-card>x</object-card><p>y</p>", ["x", "y"]),
+        ("<script-loader>x</script-loader><p>y</p>", ["x", "y"]),
+        ("<p title=it's>Text here.</p><p title='a>b' data-x=\"it's\">More.</p>", ["Text here.", "More."]),
+        ("<p title = 'x' it's>One</p><p a=b\"c>Two</p>", ["One", "Two"]),
+        ("<p>a < b and c > d <3 </> <!-- x --!>e<!-->f<!doctype x><?php y?></p>", ["a < b and c > d <3 ef"]),
+        ("<p>One</p><p title='", ["One"]),
+        ("<script>a</scripty></script ><p>One</SCRIPT></p>", ["One"]),
     ],
 )
 def test_foreign_and_media_elements_end_nothing(inside, texts):
     assert [b.text for b in H.blocks(f"<article>{inside}")] == texts
+
+
+@pytest.mark.parametrize("unit", ["<script ", "<a ", "<a x='", "<!--", "</", "<", "<p class=x>", "<div>y", "</div>x", "<iframe>", "<iframe src='x'/>", "<a href=\"x>", "&", "class = "])
+def test_time_is_proportional_to_the_page(unit):
+    began = time.perf_counter()
+    H.main_text(unit * (1_000_000 // len(unit)), H.Crf({}, np.zeros((0, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(2)))
+    assert time.perf_counter() - began < 8
+    began = time.perf_counter()
+    H.blocks("<script " * 125_000)
+    assert time.perf_counter() - began < 1
+
+
+def test_a_page_of_megabytes():
+    page = "<nav><a href=/>menu</a></nav><article>" + "".join(f"<p>Sentence number {i} of the page stands here.</p>" for i in range(100_000)) + "</article><footer>&copy; x</footer>"
+    assert H.main_text(page, H.model()).count("\n") == 99_999

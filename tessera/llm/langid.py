@@ -54,7 +54,7 @@ def codes(text: str) -> np.ndarray:
         return x[:0]
     x = np.where(letter, x, 0)
     x = x[letter | np.concatenate(([False], letter[:-1]))]
-    return np.concatenate(([0], x, [0])).astype(np.uint32)
+    return np.concatenate(([0], x, [0][: int(x[-1] > 0)])).astype(np.uint32)
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
@@ -130,22 +130,36 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def fit_rows(labels: list[str], counted: np.ndarray, passage: np.ndarray | None = None) -> Model:
-    """A model from labelled counts, which are overwritten. Rows where `passage` holds only serve the cuts."""
-    whole = np.ones(len(labels), bool) if passage is None else ~passage
-    size = sizes(counted)
-    idf = (np.log((1 + whole.sum()) / (1 + (counted[whole] > 0).sum(axis=0))) + 1).astype(np.float32)
+def dense(rows: list) -> np.ndarray:
+    """Counts from rows with the slots and counts that fit() gathers."""
+    out = np.zeros((len(rows), SLOTS), np.float32)
+    for row, r in enumerate(rows):
+        out[row, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+    return out
+
+
+def fit_rows(texts: list, passages: list) -> Model:
+    """A model from rows (lang, slots, counts): centroids from texts, cuts from passages too, which are spread out few at a time."""
+    x = dense(texts)
+    idf = (np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model([], idf, np.zeros((0, SLOTS), np.float32), np.zeros((0, SIZES)))
-    if not whole.any():
+    if not texts:
         return model
-    x, names = model.vectors(counted), np.array(labels, object)
+    names, size = np.array([r["lang"] for r in texts], object), sizes(x)
+    x = model.vectors(x)
     centres, least = [], []
-    for language in sorted(set(names[whole])):
+    for language in sorted(set(names)):
         own = names == language
-        c = clustered(x[own & whole], CENTROIDS)
+        c = clustered(x[own], CENTROIDS)
         centres.append(c)
-        near = (x[own] @ c.T).max(axis=1)
-        cuts = [min(TOP, SLACK * float(np.quantile(near[size[own] == k], LOW))) if (size[own] == k).any() else 0.0 for k in range(SIZES)]
+        near, big = [(x[own] @ c.T).max(axis=1)], [size[own]]
+        parts = [r for r in passages if r["lang"] == language]
+        for at in range(0, len(parts), 256):
+            some = dense(parts[at : at + 256])
+            big.append(sizes(some))
+            near.append((model.vectors(some) @ c.T).max(axis=1))
+        near, big = np.concatenate(near), np.concatenate(big)
+        cuts = [min(TOP, SLACK * float(np.quantile(near[big == k], LOW))) if (big == k).any() else 0.0 for k in range(SIZES)]
         least += [np.maximum.accumulate(cuts)] * len(c)  # more text is never farther
         model.languages += [language] * len(c)
     model.centroids, model.least = np.concatenate(centres).astype(np.float32), np.array(least)
@@ -186,10 +200,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     # At most 1 + len(PASSAGES) rows for each of per_language texts a language, each of at most 6 bytes a slot.
     got = sample.mapInPandas(vectors, "lang string, passage boolean, slots binary, counts binary").where(F.octet_length("slots") > 0).collect()
     got.sort(key=lambda r: (r["lang"], r["passage"], bytes(r["slots"]), bytes(r["counts"])))
-    counted = np.zeros((len(got), SLOTS), np.float32)
-    for row, r in enumerate(got):
-        counted[row, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
-    return fit_rows([r["lang"] for r in got], counted, np.array([r["passage"] for r in got], bool))
+    return fit_rows([r for r in got if not r["passage"]], [r for r in got if r["passage"]])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

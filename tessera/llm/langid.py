@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from tessera.llm.common import documents, shipped
+from tessera.llm.common import documents, scratch, shipped, written
 
 SLOTS = 1 << 13
 #: Texts learned from, at most so many a language: those of least hash of their key.
@@ -130,39 +130,35 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def dense(rows: list) -> np.ndarray:
-    """Counts from rows with the slots and counts that fit() gathers."""
-    out = np.zeros((len(rows), SLOTS), np.float32)
-    for row, r in enumerate(rows):
-        out[row, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
-    return out
-
-
-def fit_rows(texts: list, passages: list) -> Model:
-    """A model from rows (lang, slots, counts): centroids from texts, cuts from passages too, which are spread out few at a time."""
-    x = dense(texts)
-    idf = (np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+def fit_rows(labels: list[str], counted: np.ndarray) -> Model:
+    """A model without cuts from labelled counts, which are overwritten."""
+    idf = (np.log((1 + len(labels)) / (1 + (counted > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model([], idf, np.zeros((0, SLOTS), np.float32), np.zeros((0, SIZES)))
-    if not texts:
+    if not len(labels):
         return model
-    names, size = np.array([r["lang"] for r in texts], object), sizes(x)
-    x = model.vectors(x)
-    centres, least = [], []
-    for language in sorted(set(names)):
-        own = names == language
-        c = clustered(x[own], CENTROIDS)
+    x, names = model.vectors(counted), np.array(labels, object)
+    centres = []
+    for language in sorted(set(labels)):
+        c = clustered(x[names == language], CENTROIDS)
         centres.append(c)
-        near, big = [(x[own] @ c.T).max(axis=1)], [size[own]]
-        parts = [r for r in passages if r["lang"] == language]
-        for at in range(0, len(parts), 256):
-            some = dense(parts[at : at + 256])
-            big.append(sizes(some))
-            near.append((model.vectors(some) @ c.T).max(axis=1))
-        near, big = np.concatenate(near), np.concatenate(big)
-        cuts = [min(TOP, SLACK * float(np.quantile(near[big == k], LOW))) if (big == k).any() else 0.0 for k in range(SIZES)]
-        least += [np.maximum.accumulate(cuts)] * len(c)  # more text is never farther
         model.languages += [language] * len(c)
-    model.centroids, model.least = np.concatenate(centres).astype(np.float32), np.array(least)
+    model.centroids = np.concatenate(centres).astype(np.float32)
+    model.least = np.zeros((len(model.languages), SIZES))
+    return model
+
+
+def passages(text: str) -> list[str]:
+    """The text and its beginnings of PASSAGES letters."""
+    letters = list(islice((i for i, c in enumerate(text) if c.isalpha()), PASSAGES[-1]))
+    return [text, *(text[: letters[n - 1] + 1] for n in PASSAGES if n <= len(letters))]
+
+
+def cut(model: Model, near: pd.DataFrame) -> Model:
+    """The model with its cuts, from near (lang, size, cosine): texts and passages against the centroids of their language."""
+    for k, language in enumerate(model.languages):
+        own = near[near["lang"] == language]
+        by = [own["cosine"][own["size"] == size] for size in range(SIZES)]
+        model.least[k] = np.maximum.accumulate([min(TOP, SLACK * float(np.quantile(x, LOW))) if len(x) else 0.0 for x in by])  # more text is never farther
     return model
 
 
@@ -185,22 +181,35 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     nth = F.row_number().over(Window.partitionBy("__lang").orderBy("__place"))
     taken = drawn.withColumn("__nth", nth).where(F.col("__nth") <= per_language).select("__lang", "__place")  # per_language rows a language
     met = rows.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), place.alias("__place")).join(F.broadcast(taken), ["__lang", "__place"])
-    sample = met.groupBy("__lang", "__place").agg(F.min("__text").alias("__text"))
 
     def vectors(batches):
         for batch in batches:
             for language, body in zip(batch["__lang"], batch["__text"], strict=True):
-                letters = list(islice((i for i, c in enumerate(body) if c.isalpha()), PASSAGES[-1]))
-                parts = [body, *(body[: letters[n - 1] + 1] for n in PASSAGES if n <= len(letters))]
-                counted = counts(parts)
-                slots = [np.flatnonzero(c).astype("<u2") for c in counted]
-                values = [c[s].astype("<f4").tobytes() for c, s in zip(counted, slots, strict=True)]
-                yield pd.DataFrame({"lang": language, "passage": np.arange(len(parts)) > 0, "slots": [s.tobytes() for s in slots], "counts": values})
-
-    # At most 1 + len(PASSAGES) rows for each of per_language texts a language, each of at most 6 bytes a slot.
-    got = sample.mapInPandas(vectors, "lang string, passage boolean, slots binary, counts binary").where(F.octet_length("slots") > 0).collect()
-    got.sort(key=lambda r: (r["lang"], r["passage"], bytes(r["slots"]), bytes(r["counts"])))
-    return fit_rows([r for r in got if not r["passage"]], [r for r in got if r["passage"]])
+                counted = counts([body])[0]
+                slots = np.flatnonzero(counted).astype("<u2")
+                yield pd.DataFrame({"lang": [language], "slots": [slots.tobytes()], "counts": [counted[slots].astype("<f4").tobytes()]})
+
+    with scratch(df.sparkSession):
+        sample = written(met.groupBy("__lang", "__place").agg(F.min("__text").alias("__text")), "learned")
+        # At most per_language rows a language, each of at most 6 bytes a slot.
+        got = sample.mapInPandas(vectors, "lang string, slots binary, counts binary").where(F.octet_length("slots") > 0).orderBy("lang", "slots", "counts").collect()
+        counted = np.zeros((len(got), SLOTS), np.float32)
+        for row, r in enumerate(got):
+            counted[row, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+        model = fit_rows([r["lang"] for r in got], counted)
+        del got, counted
+        shared = df.sparkSession.sparkContext.broadcast(model)
+
+        def nearness(batches):
+            own = np.array(shared.value.languages, object)
+            for batch in batches:
+                for language, body in zip(batch["__lang"], batch["__text"], strict=True):
+                    counted = counts(passages(body))
+                    size, x = sizes(counted), shared.value.vectors(counted)
+                    yield pd.DataFrame({"lang": language, "size": size, "cosine": (x @ shared.value.centroids[own == language].T).max(axis=1, initial=0).astype(float)})
+
+        # At most 1 + len(PASSAGES) small rows for each of these texts.
+        return cut(model, sample.mapInPandas(nearness, "lang string, size long, cosine double").toPandas())
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -6,39 +6,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.typed import Typed, column, resolved, type_of
+from tessera.functions.typed import Typed, Windowed, column, lifting, resolved, type_of
 
 
+@lifting
 def count(x="*") -> Column:
     """Rows (for *) or non-NULL values."""
     return F.count(F.lit(1)) if isinstance(x, str) and x == "*" else F.count(column(x))
 
 
+@lifting
 def count_distinct(*xs) -> Column:
     return F.count_distinct(*map(column, xs))
 
 
+@lifting
 def sum_distinct(x) -> Column:
     return F.sum_distinct(column(x))
 
 
+@lifting
 def max_(x) -> Column:
     return F.max(column(x))
 
 
+@lifting
 def min_(x) -> Column:
     return F.min(column(x))
 
 
+@lifting
 def sum_(x) -> Column:
     return F.sum(column(x))
 
 
+@lifting
 def avg(x) -> Column:
     """A double."""
     return F.avg(column(x).cast("double"))
 
 
+@lifting
 def first(x, ignore_nulls: bool = True, order=None) -> Column:
     """The first value, by `order` if given (then the result doesn't depend on how rows are dealt out)."""
     c = column(x)
@@ -47,6 +55,7 @@ def first(x, ignore_nulls: bool = True, order=None) -> Column:
     return F.min_by(F.when(c.isNotNull(), c) if ignore_nulls else c, F.when(c.isNotNull(), column(order)) if ignore_nulls else column(order))
 
 
+@lifting
 def last(x, ignore_nulls: bool = True, order=None) -> Column:
     """The last value, by `order` if given."""
     c = column(x)
@@ -58,33 +67,74 @@ def last(x, ignore_nulls: bool = True, order=None) -> Column:
 def product(x) -> Typed:
     """The product of the non-NULL values in the type of the input; NULL if there are none.
 
-    Doubles are multiplied in place, without gathering a group. Integers, where a
-    product over a large group would overflow anyway, are gathered and folded
-    exactly.
+    Doubles are multiplied in place. Of integers only those other than -1, 0 and 1
+    are gathered and folded exactly: a product that its type can hold has at most
+    63 of them.
     """
 
-    def build(df):
+    def build(df, over=lambda c: c):
         c = resolved(df, column(x))
         kind = type_of(df, c)
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return F.product(c).cast(kind)
-        fold = F.aggregate(F.collect_list(c), F.lit(None).cast(kind), lambda a, v: F.coalesce((a * v).cast(kind), a, v))
-        return fold
+            return over(F.product(c)).cast(kind)
+        factors = over(F.collect_list(F.when(~c.isin(-1, 0, 1), c)))
+        flips = over(F.count(F.when(c == -1, 1)))
+        start = F.when(over(F.bool_or(c == 0)), F.lit(0)).otherwise(F.when(flips % 2 == 1, F.lit(-1)).otherwise(F.lit(1)))
+        fold = F.aggregate(F.when(over(F.bool_or(c == 0)), F.array().cast(T.ArrayType(kind))).otherwise(factors), start.cast(kind), lambda a, v: (a * v).cast(kind))
+        return F.when(over(F.count(c)) > 0, fold)
 
-    return Typed(build)
+    return Typed(build, lambda df, spec: build(df, lambda c: c.over(spec)))
 
 
+@lifting
 def bool_and(x) -> Column:
     return F.bool_and(column(x))
 
 
+@lifting
 def bool_or(x) -> Column:
     return F.bool_or(column(x))
 
 
+@lifting
 def array_agg(x, order=None) -> Column:
     """All values, NULLs too; an empty array without rows. By `order` if given."""
     c = column(x)
-    if order is None:
-        return F.transform(F.collect_list(F.struct(c.alias("v"))), lambda s: s["v"])
-    return F.transform(F.array_sort(F.collect_list(F.struct(column(order).alias("o"), c.alias("v")))), lambda s: s["v"])
+
+    def build(over=lambda c: c):
+        if order is None:
+            return F.transform(over(F.collect_list(F.struct(c.alias("v")))), lambda s: s["v"])
+        return F.transform(F.array_sort(over(F.collect_list(F.struct(column(order).alias("o"), c.alias("v"))))), lambda s: s["v"])
+
+    return Windowed(build(), lambda spec: build(lambda c: c.over(spec)))
+
+
+def aggregate(x, initial, accumulate, merge=None, result=None, order=None) -> Typed:
+    """A user-defined aggregate: a fold of the values of x from `initial`.
+
+    accumulate(state, value) gives the next state, merge(state, state) joins two,
+    result(state) gives the outcome; all are functions of Columns, and the states
+    have the type of `initial`. With a merge each value becomes a state by itself
+    and the states are joined, so that the order doesn't matter; without one the
+    values are folded by `order`, or as they come. NULL values are folded too. A
+    group's values are gathered for it. Also over a window.
+    """
+
+    def build(df, over=lambda c: c):
+        c = resolved(df, column(x))
+        zero = F.lit(initial) if not isinstance(initial, Column) else initial
+        values = resolved(df, array_agg(c, order).over(over.spec) if hasattr(over, "spec") else array_agg(c, order))
+        finish = result or (lambda s: s)
+        if merge is None:
+            return F.aggregate(values, zero, accumulate, finish)
+        one = F.transform(values, lambda v: accumulate(zero, v))
+        return F.aggregate(one, zero, merge, finish)
+
+    def windowed(df, spec):
+        def over(c):
+            return c.over(spec)
+
+        over.spec = spec
+        return build(df, over)
+
+    return Typed(build, windowed)

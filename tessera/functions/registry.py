@@ -13,6 +13,9 @@ class FunctionRegistry:
     """Names, in any case, to functions that build expressions; each registry can be changed by itself."""
 
     def __init__(self) -> None:
+        #: Functions that were registered or replaced, by name.
+        self.added: dict[str, Callable] = {}
+        # The names.
         self._known: dict[str, Callable] = {
             "coalesce": S.coalesce,
             "rand": S.rand,
@@ -42,10 +45,11 @@ class FunctionRegistry:
         return sorted(self._known)
 
     def register(self, name: str, build: Callable) -> None:
-        self._known[name.lower()] = build
+        self._known[name.lower()] = self.added[name.lower()] = build
 
     def remove(self, name: str) -> None:
         self._known.pop(name.lower(), None)
+        self.added.pop(name.lower(), None)
 
     def lookup(self, name: str) -> Callable:
         try:

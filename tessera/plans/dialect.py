@@ -7,14 +7,27 @@ array_agg keeps them; average and product are known; map and named_struct take
 all keys, then all values; CASE k WHEN takes lists and comparisons; a window may
 refine a named one; the column list of a CTE may be short; ORDER BY may use
 aggregates and window functions that aren't selected; U&'...' literals, quoted
-names and the type names of tessera.types are understood.
+names and the type names of tessera.types are understood; product and array_agg
+serve over windows; registered functions can be called; set operations want
+equal column names. What depends on types is settled where the block's tables
+are known: / of two integers is the quotient in the wider type, length counts
+elements too, CAST of a string to BOOLEAN knows yes, no, on, off and the like, and
+numbers serve as conditions of CASE. Where a type can't be told (in a correlated
+subquery), these mean what they mean in Spark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from tessera.errors import DialectError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.errors import DialectError, SchemaMismatch
+from tessera.functions.scalar import FALSE_STRINGS, TRUE_STRINGS
+from tessera.functions.typed import Typed
 from tessera.plans.tokens import Token, closing, opening, split, text_of, tokens, top_level
 from tessera.types import parse_type
 
@@ -60,22 +73,22 @@ def _bags(ts: list[Token]) -> list[Token]:
     return out
 
 
-def _function(name: str, args: list[list[Token]]) -> list[Token] | None:
-    """The rewritten call, or None to keep it."""
+def _function(name: str, args: list[list[Token]], over: list[Token]) -> list[Token] | None:
+    """The rewritten call with its window, or None to keep it. Names that start with __ wait for the types of their arguments."""
     distinct = bool(args) and bool(args[0]) and args[0][0].low == "distinct"
+    if name == "length" and len(args) == 1:
+        return call("__length", args[0])
     if name == "average":
-        return call("avg", *args)
+        return call("avg", *args) + over
     if name in ("first", "first_value", "last", "last_value") and len(args) == 1:
-        return call(name.removesuffix("_value"), args[0], [word("true")])
+        return call(name.removesuffix("_value"), args[0], [word("true")]) + over
     if name == "concat":
         return call("concat_ws", [Token("string", "''")], *args)
     if name == "array_agg" and not distinct:
-        kept = call("collect_list", call("named_struct", [Token("string", "'v'")], args[0]))
+        kept = call("collect_list", call("named_struct", [Token("string", "'v'")], args[0])) + over
         return call("transform", kept, [word("s"), op("->"), word("s"), op("."), word("v")])
     if name == "product" and len(args) == 1:
-        nothing = call("if", [word("false")], call("max", args[0]), [word("NULL")])
-        step = [op("("), word("a"), op(","), word("v"), op(")"), op("->"), *call("coalesce", [word("a"), op("*"), word("v")], [word("a")], [word("v")])]
-        return call("aggregate", call("collect_list", args[0]), nothing, step)
+        return call("__product", args[0], over) if over else call("__product", args[0])
     if name == "if" and len(args) == 3:
         test = [op("("), *args[0], op(")")]
         return [op("("), word("CASE"), word("WHEN"), *test, word("IS"), word("NULL"), word("THEN"), word("NULL"), word("WHEN"), *test, word("THEN"), *args[1], word("ELSE"), *args[2], word("END"), op(")")]
@@ -87,7 +100,25 @@ def _function(name: str, args: list[list[Token]]) -> list[Token] | None:
     return None
 
 
-def _calls(ts: list[Token]) -> list[Token]:
+def _registered(build: Callable, args: list[list[Token]]) -> list[Token]:
+    made = build(*[F.expr(text_of(a)) for a in args])
+    if isinstance(made, Typed) or not isinstance(made, Column):
+        raise DialectError("a registered function that depends on types can't be called in SQL")
+    ts = tokens(made._jc.node().sql())
+    # Spark shows an operator as a function of that name: +(a, b).
+    first = lambda i: i == 0 or ts[i - 1].low in ("(", ",")
+    prefix = lambda i, t: first(i) and i + 1 < len(ts) and ts[i + 1].low == "(" and (t.kind == "op" and t.text not in "()," or t.low in ("and", "or", "not"))
+    return [op("("), *[Token("quoted", f"`{t.text}`") if prefix(i, t) else t for i, t in enumerate(ts)], op(")")]
+
+
+def _over(ts: list[Token], at: int) -> int:
+    """Where an OVER clause that starts at `at` stops; `at` if there is none."""
+    if at >= len(ts) or ts[at].low != "over":
+        return at
+    return closing(ts, at + 1) + 1 if ts[at + 1].low == "(" else at + 2
+
+
+def _calls(ts: list[Token], added: dict[str, Callable]) -> list[Token]:
     out, i = [], 0
     while i < len(ts):
         if ts[i].kind == "word" and i + 1 < len(ts) and ts[i + 1].low == "(" and ts[i].low not in WORDS - {"cast"}:
@@ -97,10 +128,18 @@ def _calls(ts: list[Token]) -> list[Token]:
                 at = next((k for k, t in top_level(inner) if t.low == "as"), None)
                 if at is None:
                     raise DialectError("CAST without AS")
-                out += [*ts[i : i + 2], *_calls(inner[:at]), word("AS"), word(parse_type(text_of(inner[at + 1 :])).simpleString()), op(")")]
+                kind, value = parse_type(text_of(inner[at + 1 :])), _calls(inner[:at], added)
+                out += call("__bool", value) if isinstance(kind, T.BooleanType) else [*ts[i : i + 2], *value, word("AS"), word(kind.simpleString()), op(")")]
             else:
-                args = [_calls(a) for a in split(inner)]
-                out += _function(ts[i].low, args) or [ts[i], op("("), *[t for k, a in enumerate(args) for t in [op(",")] * bool(k) + a], op(")")]
+                args = [_calls(a, added) for a in split(inner)]
+                if ts[i].low in added:
+                    out += _registered(added[ts[i].low], args)
+                else:
+                    stop = _over(ts, end + 1)
+                    made = _function(ts[i].low, args, _calls(ts[end + 1 : stop], added))
+                    if made and ts[i].low in ("product", "array_agg", "average", "first", "first_value", "last", "last_value"):
+                        end = stop - 1
+                    out += made or [ts[i], op("("), *[t for k, a in enumerate(args) for t in [op(",")] * bool(k) + a], op(")")]
             i = end + 1
         else:
             out.append(ts[i])
@@ -132,6 +171,8 @@ def _cases(ts: list[Token]) -> list[Token]:
             if kind == "when" and key:
                 tests = [[op("("), *key, *([] if v[0].low in COMPARISONS else [op("=")]), *v, op(")")] for v in split(part)]
                 part = [t for n, test in enumerate(tests) for t in [word("OR")] * bool(n) + test]
+            elif kind == "when" and len(part) == 1 and part[0].kind == "number":  # a number as a condition
+                part = [*call("CAST", [*part, word("AS"), word("BOOLEAN")])]
             out += [inner[k], *part]
         out.append(ts[end])
         i = end + 1
@@ -143,7 +184,7 @@ def _starts(ts: list[Token], last: int) -> int:
     at = last
     if ts[at].low == ")":
         at = opening(ts, at)
-        if at and ts[at - 1].kind == "word" and ts[at - 1].low not in WORDS:
+        if at and ts[at - 1].kind == "word" and ts[at - 1].low not in WORDS - {"cast"}:
             at -= 1
     while at >= 2 and ts[at - 1].low == ".":
         at -= 2
@@ -173,6 +214,36 @@ def _powers(ts: list[Token]) -> list[Token]:
     return ts
 
 
+def _divisions(ts: list[Token]) -> list[Token]:
+    """a / b as __div(a, b), from the left; a is all that multiplies and divides before."""
+
+    def start_of(last: int) -> int:
+        if ts[last].low == "end":
+            depth, at = 1, last
+            while depth and at:
+                at -= 1
+                depth += (ts[at].low == "end") - (ts[at].low == "case")
+            return at
+        at = _starts(ts, last)
+        if at and ts[at - 1].low == "over":
+            at = _starts(ts, at - 2)
+        return at
+
+    done = 0
+    while (at := next((i for i, t in enumerate(ts) if i >= done and t.low == "/"), None)) is not None:
+        start = start_of(at - 1)
+        while start > 1 and ts[start - 1].low in ("*", "%"):
+            start = start_of(start - 2)
+        stop = _stops(ts, at + 1)
+        stop = _over(ts, stop)
+        if ts[at + 1].low == "case":
+            done = at + 1
+            continue
+        ts = [*ts[:start], *call("__div", ts[start:at], ts[at + 1 : stop]), *ts[stop:]]
+        done = start
+    return ts
+
+
 def _joined_strings(ts: list[Token]) -> list[Token]:
     ends = COMPARISONS | {",", "||"} | (WORDS - {"end", "case"})
 
@@ -226,8 +297,8 @@ def _null_order(ts: list[Token]) -> list[Token]:
     return out
 
 
-def expressions(ts: list[Token]) -> list[Token]:
-    return _null_order(_joined_strings(_powers(_calls(_cases(_bags(_literals(ts)))))))
+def expressions(ts: list[Token], added: dict[str, Callable] | None = None) -> list[Token]:
+    return _null_order(_joined_strings(_divisions(_powers(_calls(_cases(_bags(_literals(ts))), added or {})))))
 
 
 # Queries
@@ -272,6 +343,64 @@ def _windows(ts: list[Token]) -> list[Token]:
     return out
 
 
+#: Integral types from narrow to wide.
+INTEGERS = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+
+
+def _settled(name: str, args: list[list[Token]], kinds: list[T.DataType | None]) -> list[Token]:
+    """A call that waited for the types of its arguments (None where one can't be told)."""
+    if name == "__div":
+        if all(k in INTEGERS for k in kinds):
+            wide = INTEGERS[max(INTEGERS.index(k) for k in kinds)]
+            return call("CAST", [op("("), *args[0], op(")"), word("DIV"), op("("), *args[1], op(")"), word("AS"), word(wide.simpleString())])
+        return [op("("), op("("), *args[0], op(")"), op("/"), op("("), *args[1], op(")"), op(")")]
+    if name == "__length":
+        return call("size" if isinstance(kinds[0], (T.ArrayType, T.MapType)) else "length", args[0])
+    if name == "__bool":
+        if not isinstance(kinds[0], T.StringType):
+            return call("CAST", [*args[0], word("AS"), word("BOOLEAN")])
+        listed = lambda xs: [word("IN"), op("("), *[t for n, x in enumerate(xs) for t in [op(",")] * bool(n) + [Token("string", f"'{x}'")]], op(")")]
+        lower = call("lower", args[0])
+        return [op("("), word("CASE"), word("WHEN"), *lower, *listed(TRUE_STRINGS), word("THEN"), word("TRUE"), word("WHEN"), *lower, *listed(FALSE_STRINGS), word("THEN"), word("FALSE"), word("END"), op(")")]
+    # product: of integers only factors other than -1, 0 and 1 are gathered, as tessera.functions.product does.
+    x, over = args[0], args[1] if len(args) > 1 else []
+    text, window = text_of(x), f" {text_of(over)}" if over else ""
+    if kinds[0] in INTEGERS:
+        kind = kinds[0].simpleString()
+        zero = f"bool_or(({text}) = 0){window}"
+        start = f"CAST(CASE WHEN {zero} THEN 0 WHEN count(CASE WHEN ({text}) = -1 THEN 1 END){window} % 2 = 1 THEN -1 ELSE 1 END AS {kind})"
+        factors = f"CASE WHEN {zero} THEN array() ELSE collect_list(CASE WHEN ({text}) NOT IN (-1, 0, 1) THEN ({text}) END){window} END"
+        return tokens(f"(CASE WHEN count({text}){window} > 0 THEN aggregate({factors}, {start}, (a, v) -> CAST(a * v AS {kind})) END)")
+    return tokens(f"aggregate(collect_list({text}){window}, if(false, max({text}){window}, NULL), (a, v) -> coalesce(a * v, a, v))")
+
+
+def _typed(spark: SparkSession, scope: list[Token], ts: list[Token]) -> list[Token]:
+    """A SELECT block with the calls settled that depend on types."""
+    waiting = ("__div", "__length", "__bool", "__product")
+    if not any(t.low in waiting for t in ts):
+        return ts
+    clause = lambda name, stops: next((ts[i : next((j for j, u in top_level(ts, i + 1) if u.low in stops), len(ts))] for i, t in top_level(ts) if t.low == name), [])
+    source, windows, groups = clause("from", CLAUSES), clause("window", {"order", "limit"}), clause("group", CLAUSES - {"group"})
+
+    def kind(x: list[Token]) -> T.DataType | None:
+        """The type of an expression of this block's tables; the condition of a join that waits itself is left out."""
+        plain = source if not any(t.low in waiting for t in source) else None
+        for extra in ([], groups):
+            try:
+                return spark.sql(text_of([*scope, word("SELECT"), *x, *(plain or []), *(extra if not any(t.low in waiting for t in extra) else []), *windows])).schema[0].dataType
+            except AnalysisException:
+                continue
+        return None
+
+    while (at := max((i for i, t in enumerate(ts) if t.low in waiting), default=None)) is not None:  # the last one holds no other
+        end = closing(ts, at + 1)
+        args = split(ts[at + 2 : end])
+        name = ts[at].low
+        ts = [*ts[:at], *_settled(name, args, [kind(a) for a in (args[:1] if name == "__product" else args)]), *ts[end + 1 :]]
+        source, windows, groups = clause("from", CLAUSES), clause("window", {"order", "limit"}), clause("group", CLAUSES - {"group"})
+    return ts
+
+
 def _has_aggregate(ts: list[Token]) -> bool:
     rewritten = {"collect_list"} | AGGREGATES
     return any(t.low == "over" or t.low in rewritten and i + 1 < len(ts) and ts[i + 1].low == "(" for i, t in enumerate(ts))
@@ -349,23 +478,30 @@ def query(spark: SparkSession, ts: list[Token], scope: list[Token] | None = None
     ts = _derived(spark, scope, ts)
     places = [i for i, t in top_level(ts) if t.low in SETS]
     out: list[Token] = []
+    names: list[str] | None = None
     for a, b in zip([0, *[p + 2 for p in places]], [*places, len(ts)], strict=True):
         block = ts[a:b]
         if block and block[0].low == "select":
-            block = _windows(block)
+            block = _typed(spark, scope, _windows(block))
             if not places:
                 block = _hidden_order(spark, scope, block)
+        if places and block and block[0].low in ("select", "("):
+            tail = next((i for i, t in top_level(block) if t.low in ("order", "limit")), len(block))
+            found = [c.lower() for c in spark.sql(text_of([*scope, *block[:tail]])).columns]
+            if names not in (None, found):
+                raise SchemaMismatch(f"columns {names} and {found}")
+            names = found
         out += [*block, *ts[b : b + 2]]
     return out
 
 
-def translate(spark: SparkSession, sql: str) -> str:
+def translate(spark: SparkSession, sql: str, added: dict[str, Callable] | None = None) -> str:
     """The dialect's text as Spark SQL."""
     ts = tokens(sql)
     while ts and ts[-1].low == ";":
         ts.pop()
-    return text_of(query(spark, expressions(ts)))
+    return text_of(query(spark, expressions(ts, added)))
 
 
-def run_sql(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(translate(spark, sql))
+def run_sql(spark: SparkSession, sql: str, added: dict[str, Callable] | None = None) -> DataFrame:
+    return spark.sql(translate(spark, sql, added))

@@ -20,8 +20,8 @@ class Engine:
         self.functions = FunctionRegistry()
 
     def sql(self, text: str) -> Frame:
-        """A query in the engine's dialect (see tessera.plans.dialect)."""
-        return Frame(run_sql(self.spark, text))
+        """A query in the engine's dialect (see tessera.plans.dialect); registered functions can be called."""
+        return Frame(run_sql(self.spark, text, self.functions.added))
 
     def table(self, name: str) -> Frame:
         return Frame(self.spark.table(name))
@@ -41,6 +41,12 @@ class Engine:
     def parquet(self, folder: str, name: str) -> Frame:
         return Frame(sources.parquet(self.spark, folder, name))
 
+    def let(self, **frames: Frame) -> Engine:
+        """Names frames for SQL that follows, as a WITH clause does for one query."""
+        for name, frame in frames.items():
+            frame.as_table(name)
+        return self
+
     def open(self, folder: str, *names: str) -> Engine:
         """Registers Parquet tables of a folder under their names."""
         for name in names:

@@ -28,8 +28,8 @@ from tessera.llm.simhash import HOT, covering_masks, hashes, majority, signed, w
 from tessera.llm.spotsigs import length_class
 
 SHINGLE, ALIKE = 5, 0.8
-#: Fingerprints of a text, and the differing bits that each looks up to.
-PRINTS, RADIUS = 8, 4
+#: Fingerprints of a text, and the differing bits that each looks up to. Shared shingles find all links by themselves, so one is enough.
+PRINTS, RADIUS = 1, 3
 #: Least number of bits of the parities by which pairs are sifted.
 PARITIES = 512
 #: Which shingles come last in their common order: of one text in SAMPLED, those in OFTEN or more, the MOST most frequent.

@@ -34,6 +34,8 @@ from tessera.llm.common import documents, scratch, shipped, shuffle_width, sieve
 LENGTH, GRAM = 50, 20
 #: What a null key counts as.
 LOWEST = -(1 << 63)
+#: What tells different rows apart.
+BOTH = ["digest", "first"]
 #: Grams in a window; also the most windows in a run.
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text that are worked on at once (a longer document is by itself).
@@ -439,13 +441,28 @@ def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
 
 
 def without_copies(df: DataFrame, keys: DataFrame, later: DataFrame, key: str, text: str) -> DataFrame:
-    """(first, digest, body) of the rows that are no later copies. Bodies stay where they are, but for those that the sieve of copies holds by chance."""
-    both = ["digest", "first"]
-    held = sieve(later, *both)
-    chance = written(sifted(keys, held, *both)[0].join(later.hint("merge"), both, "left_anti").distinct(), "chance")
+    """(first, digest, body) of the rows that are no later copies, once each.
+
+    Bodies stay where they are, but for those of rows that repeat both key and text
+    and those that the sieve of copies holds by chance.
+    """
     own = df.select(_least(key).alias("first"), _digest(text).alias("digest"), _body(text).cast("binary").alias("body"))
-    maybe, sure = sifted(own, held, *both)
-    return sure.unionByName(sifted(maybe, sieve(chance, *both), *both)[0].join(chance.hint("merge"), both, "left_semi"))
+    stay = others(own, keys, later, BOTH)
+    again = written(keys.groupBy(*BOTH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*BOTH), "again")
+    twice, once = sifted(stay, sieve(again, *BOTH), *BOTH)
+    return once.unionByName(twice.dropDuplicates(BOTH))
+
+
+def others(df: DataFrame, keys: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose columns `on` are not in `named`. keys: these columns of all rows, as a written table.
+
+    Rows that a sieve lets pass don't move; of the others only the keys do, and
+    then the few that it holds by chance.
+    """
+    held = sieve(named, *on)
+    chance = written(sifted(keys, held, *on)[0].join(named.hint("merge"), on, "left_anti").distinct(), "chance")
+    maybe, sure = sifted(df, held, *on)
+    return sure.unionByName(sifted(maybe, sieve(chance, *on), *on)[0].join(chance.hint("merge"), on, "left_semi"))
 
 
 def repeats(df: DataFrame, copies: tuple[DataFrame, DataFrame], key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -467,7 +484,7 @@ def repeats(df: DataFrame, copies: tuple[DataFrame, DataFrame], key: str = "doc_
     schema = "first long, digest binary, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     done = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_finished(with_text), schema)
     # Written, so that the join with the rows has plain exchanges on both sides and a hot text can be split.
-    return written(done.dropDuplicates(["digest"]), "repeats")
+    return written(done, "repeats")
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -476,18 +493,26 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Rows that repeat both key and text are one document: neither cuts the other.
     Only rows that may change move to the join with what is left of them.
     """
-    with scratch(df.sparkSession) as keep:
+    spark = df.sparkSession
+    with scratch(spark) as keep:
         copies = later_copies(df, key, text)
         cut = repeats(df, copies, key, text, with_text=True).where("n_removed > 0").select("digest", "first", "kept")
-        changes = cut.unionByName(copies[1].withColumn("kept", F.lit("")))
-        changes = keep(written(changes.select(F.col("digest").alias("__digest"), F.col("first").alias("__first"), F.col("kept").alias("__kept")), "changes"))
-        held = keep(sieve(changes, "__digest", "__first"))
-    at = [_digest(text), _least(key)]
-    some, same = sifted(df, held, *at)
-    met = some.join(changes.hint("merge"), (at[0] == F.col("__digest")) & (at[1] == F.col("__first")), "left")
-    changed = F.col("__kept").isNotNull() & (F.octet_length(_body(text)) >= LENGTH)
-    left = met.where(~changed | (F.col("__kept") != "")).withColumn(text, F.when(changed, F.col("__kept")).otherwise(F.col(text)))
-    return left.select(*df.columns).unionByName(same)
+        gone = copies[1].withColumn("kept", F.lit(""))
+        changes = keep(written(cut.unionByName(gone).select(F.col("digest").alias("__digest"), F.col("first").alias("__first"), F.col("kept").alias("__kept")), "changes"))
+        # Copies that are too short to hold a repeat stay as they are.
+        short = df.select(_digest(text).alias("__digest"), F.octet_length(_body(text)).alias("__n")).where(F.col("__n") < LENGTH).select("__digest").distinct()
+        changes = keep(written(changes.join(short.hint("merge"), "__digest", "left_anti"), "changes"))
+        keys = copies[0].select(F.col("digest").alias("__digest"), F.col("first").alias("__first"))
+        at = ["__digest", "__first"]
+        held = keep(sieve(changes, *at))
+        chance = keep(written(sifted(keys, held, *at)[0].join(changes.hint("merge"), at, "left_anti").distinct(), "chance"))
+        held_by_chance = keep(sieve(chance, *at))
+    own = df.withColumn("__digest", _digest(text)).withColumn("__first", _least(key))
+    some, same = sifted(own, held, *at)
+    back = sifted(some, held_by_chance, *at)[0].join(chance.hint("merge"), at, "left_semi")
+    # The texts of these rows are replaced, so they don't move.
+    met = some.drop(text).join(changes.where(F.col("__kept") != "").hint("merge"), at).withColumnRenamed("__kept", text)
+    return met.select(*df.columns).unionByName(same.select(*df.columns)).unionByName(back.select(*df.columns))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,23 @@ def test_suffix_order():
     keys = [text[p : p + S.LENGTH].tobytes() for p in at]
     assert [keys[i] for i in order] == sorted(keys)
     assert all(classes[p] == classes[p + 1000] for p in range(950)) and len(set(classes)) == len(set(keys))
+
+
+def test_dropping_against_brute_force(spark):
+    rng = random.Random(9)
+    bank = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([30, 60, 120]))) for _ in range(8)]
+    rows = [(i, "".join(rng.choice([rng.choice(bank), f"own {rng.random()} "]) for _ in range(rng.randrange(6)))) for i in range(60)]
+    rows += [rows[7], (7, "another text of one id" * 4), (80, rows[7][1]), (81, "short"), (82, "short"), (83, None), (None, bank[0] + bank[1])]
+    left = S.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = []
+    docs = [((LOW if i is None else i), (t or "").encode()) for i, t in rows]
+    least = {}
+    for i, b in docs:
+        for p in range(len(b) - S.LENGTH + 1):
+            least[b[p : p + S.LENGTH]] = min(least.get(b[p : p + S.LENGTH], i), i)
+    for (i, b), (k, t) in zip(docs, rows):
+        cut = {q for p in range(len(b) - S.LENGTH + 1) if least[b[p : p + S.LENGTH]] < i for q in range(p, p + S.LENGTH)}
+        kept = bytes(x for p, x in enumerate(b) if p not in cut).decode()
+        if not cut or kept:
+            want.append((k, kept if cut else t))
+    assert sorted((tuple(r) for r in left), key=str) == sorted(want, key=str)

@@ -118,14 +118,14 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     spark = df.sparkSession
     own = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     ids = df.select(own.alias("id"))
-    ranges = max(4 * shuffle_width(spark), ids.count() // 4000)
+    ranges = 4 * shuffle_width(spark)  # bounded: the session says how many tasks its data call for
     cuts = ids.agg(F.percentile_approx("id", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(100 * ranges))).first()[0] or []
     bounds = sorted(set(cuts))
     rows = df.select(F.col(key).alias("key"), own.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("range", _bucket(F.col("id"), bounds))
     firsts = rows.select("range", "id").groupBy("range").agg(F.min("id").alias("id"))
     heads = firsts.select(F.col("id").alias("head"), F.lag("range").over(Window.orderBy("range")).alias("before"), F.max("range").over(Window.partitionBy()).alias("last"))
-    heads = heads.select("head", F.coalesce("before", "last").alias("range"))  # a row for each range
-    ends = rows.select("id", "text").join(heads, F.col("id") == F.col("head")).groupBy("range", "id").agg(F.min("text").alias("text"))
+    heads = heads.select("head", F.coalesce("before", "last").alias("range"))  # a row for each range, so at most `ranges`
+    ends = rows.select("id", "text").join(F.broadcast(heads), F.col("id") == F.col("head")).groupBy("range", "id").agg(F.min("text").alias("text"))
     both = rows.select("key", "id", "text", "range", F.lit(0).alias("end")).unionByName(ends.select(F.lit(None).cast(df.schema[key].dataType).alias("key"), "id", "text", "range", F.lit(1).alias("end")))
     order = Window.partitionBy("range").orderBy("end", "id", "text")
     return both.withColumn("next", F.lead("text").over(order))

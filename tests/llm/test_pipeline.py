@@ -73,3 +73,10 @@ def test_stage_by_stage(spark, tmp_path):
 def test_run_is_the_last_stage_s_table(spark):
     out = P.run(spark, D)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_two_results_can_be_held_at_once(spark, tmp_path):
+    spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 40").write.parquet(str(tmp_path / "documents.parquet"))
+    one, two = P.run(spark, str(tmp_path)), P.run(spark, str(tmp_path))
+    rows = lambda df: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in df.collect())
+    assert rows(one) == rows(two) != []

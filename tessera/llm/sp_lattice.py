@@ -16,11 +16,13 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,13 @@ from tessera.llm.common import documents, shipped, written
 
 SPACE = "▁"
 #: Characters of text whose units are counted before the counts move on.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Counts that a worker hands on at once.
+ROWS = 1 << 15
 #: Units whose lattices are folded: the most frequent ones, so that their ids can be broadcast.
 MOST = 1 << 18
 #: Ids of rarer units that a worker remembers.
-KEPT = 1 << 17
+KEPT = 1 << 16
 #: Units of more characters than this are merged one by one instead: a fold takes time with the square of the length.
 LONG = 32
 #: Characters below this are looked up pairwise for cuts; next to others nothing is cut.
@@ -253,20 +257,58 @@ def segmented(units: DataFrame, model: Model) -> DataFrame:
 def counted(rows: DataFrame, path: str) -> DataFrame:
     """(unit, n) for the units of up to LONG characters in all texts: each CHUNK is counted before anything moves."""
 
+    import pyarrow as pa
+
+    def handed(seen):
+        pairs = iter(seen.items())
+        while part := list(islice(pairs, ROWS)):
+            units, times = zip(*part)
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(times, pa.int64())], ["unit", "n"])
+
     def run(batches):
         model, seen, size = loaded(path), Counter(), 0
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column("text"):  # one text at a time
+                text = text.as_py()
                 if text:
                     seen.update(u for u in model.units(text) if len(u) <= LONG)
                     size += len(text)
                 if size >= CHUNK:
-                    yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
+                    yield from handed(seen)
                     seen, size = Counter(), 0
-        if seen:
-            yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
+        yield from handed(seen)
 
-    return rows.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+class Known:
+    """Ids of units, packed: sorted hashes of the units, where each one's bytes start, and their bytes.
+
+    A worker keeps these arrays instead of as many objects. A unit is found by its
+    hash and its bytes; two units of one hash can't both be held, so the second is
+    left to whoever asks.
+    """
+
+    def __init__(self, units: list[bytes], ids: list[bytes]):
+        h = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in units), np.uint64, len(units))
+        order = np.argsort(h, kind="stable")
+        order = order[np.concatenate(([True], np.diff(h[order]) != 0))] if len(order) else order
+        self.hashes = h[order]
+        self.units, self.unit_at = self._packed(units, order)
+        self.ids, self.ids_at = self._packed(ids, order)
+
+    @staticmethod
+    def _packed(values: list[bytes], order: np.ndarray) -> tuple[bytes, np.ndarray]:
+        kept = [values[i] for i in order]
+        return b"".join(kept), np.cumsum([0, *map(len, kept)], dtype=np.int64)
+
+    def get(self, unit: str) -> bytes | None:
+        raw = unit.encode("utf-8", "surrogatepass")
+        h = xxhash.xxh3_64_intdigest(raw)
+        at = int(np.searchsorted(self.hashes, np.uint64(h)))
+        if at == len(self.hashes) or int(self.hashes[at]) != h or self.units[self.unit_at[at] : self.unit_at[at + 1]] != raw:
+            return None
+        return self.ids[self.ids_at[at] : self.ids_at[at + 1]]
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -309,24 +351,22 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             yield pd.DataFrame({"unit": batch["unit"], "ids": ids})
 
     pairs = cuts.mapInPandas(found, "unit string, ids binary").toPandas()  # at most `most` rows
-    table = (list(pairs["unit"]), [bytes(i) for i in pairs["ids"]])
+    shared = spark.sparkContext.broadcast(Known([u.encode("utf-8", "surrogatepass") for u in pairs["unit"]], [bytes(i) for i in pairs["ids"]]))
     del pairs
-    shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
-        model = loaded(path)
-        known = dict(zip(*shared.value, strict=True))
+        model, known = loaded(path), shared.value
         single = merged if model.kind == "bpe" else best_path
-        rest: dict[str, bytes] = {}
+        met: dict[str, bytes] = {}  # what this task has looked up or merged
 
-        def rare(unit):
-            if len(rest) > KEPT:
-                rest.clear()
-            ids = rest[unit] = np.array(model.ids(unit, single(unit, model)), "<u4").tobytes()
+        def look(unit):
+            if len(met) > KEPT:
+                met.clear()
+            ids = met[unit] = known.get(unit) or np.array(model.ids(unit, single(unit, model)), "<u4").tobytes()
             return ids
 
         for batch in batches:
-            parts = [b"".join([known.get(u) or rest.get(u) or rare(u) for u in model.units(t or "")]) for t in batch.column("text").to_pylist()]
+            parts = [b"".join([met.get(u) or look(u) for u in model.units(t.as_py() or "")]) for t in batch.column("text")]
             ends = np.cumsum([0, *(len(x) // 4 for x in parts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])

@@ -37,6 +37,16 @@ def test_nothing(spark, nothing):
     assert S.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).select("text").collect() == [(None,), ("",)]
 
 
+def test_known_units_are_found_by_their_bytes():
+    rng = random.Random(6)
+    units = sorted({"".join(rng.choice("▁abé🙂") for _ in range(rng.randrange(1, 7))) for _ in range(3000)})
+    held, other = units[::2], units[1::2]
+    known = S.Known([u.encode() for u in held], [u[::-1].encode() for u in held])
+    assert [known.get(u) for u in held] == [u[::-1].encode() for u in held]
+    assert not any(known.get(u) for u in other)
+    assert S.Known([], []).get("a") is None
+
+
 def test_heap_merges_equal_the_library():
     rng = random.Random(4)
     model = S.loaded(S.model_path())

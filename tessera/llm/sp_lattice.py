@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +51,7 @@ class Model:
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(size)]
         self.score = {p: (sp.get_score(i), i) for i, p in enumerate(self.pieces) if not special[i]}
+        self.worth = {p: s for p, (s, _) in self.score.items()}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         spec = dict(_fields(sp.serialized_model_proto()))
@@ -168,6 +168,23 @@ def merged(unit: str, model: Model) -> list[int]:
     return [s for s in range(n) if live[s]] + [n]
 
 
+def alone(unit: str, model: Model) -> list[int]:
+    """Cuts of one rare unit, as merged() gives them: the worth of each two neighbours is kept in a list, where short units are soon searched."""
+    if len(unit) > LONG:
+        return merged(unit, model)
+    worth_of, none = model.worth.get, -np.inf
+    cuts = list(range(len(unit) + 1))
+    worth = [worth_of(unit[s : s + 2], none) for s in range(len(unit) - 1)]
+    while worth and (best := max(worth)) != none:
+        at = worth.index(best)
+        del cuts[at + 1], worth[at]
+        if at < len(worth):
+            worth[at] = worth_of(unit[cuts[at] : cuts[at + 2]], none)
+        if at:
+            worth[at - 1] = worth_of(unit[cuts[at - 1] : cuts[at + 1]], none)
+    return cuts
+
+
 def best_path(unit: str, model: Model) -> list[int]:
     """Cuts of one long unit: Viterbi, as fold_viterbi does it."""
     low = min(s for s, _ in model.score.values()) - 10
@@ -282,33 +299,22 @@ def counted(rows: DataFrame, path: str) -> DataFrame:
 
 
 class Known:
-    """Ids of units, packed: sorted hashes of the units, where each one's bytes start, and their bytes.
-
-    A worker keeps these arrays instead of as many objects. A unit is found by its
-    hash and its bytes; two units of one hash can't both be held, so the second is
-    left to whoever asks.
-    """
+    """Ids of units, sent packed: a broadcast of few large objects. A worker unpacks them once."""
 
     def __init__(self, units: list[bytes], ids: list[bytes]):
-        h = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in units), np.uint64, len(units))
-        order = np.argsort(h, kind="stable")
-        order = order[np.concatenate(([True], np.diff(h[order]) != 0))] if len(order) else order
-        self.hashes = h[order]
-        self.units, self.unit_at = self._packed(units, order)
-        self.ids, self.ids_at = self._packed(ids, order)
-
-    @staticmethod
-    def _packed(values: list[bytes], order: np.ndarray) -> tuple[bytes, np.ndarray]:
-        kept = [values[i] for i in order]
-        return b"".join(kept), np.cumsum([0, *map(len, kept)], dtype=np.int64)
-
-    def get(self, unit: str) -> bytes | None:
-        raw = unit.encode("utf-8", "surrogatepass")
-        h = xxhash.xxh3_64_intdigest(raw)
-        at = int(np.searchsorted(self.hashes, np.uint64(h)))
-        if at == len(self.hashes) or int(self.hashes[at]) != h or self.units[self.unit_at[at] : self.unit_at[at + 1]] != raw:
-            return None
-        return self.ids[self.ids_at[at] : self.ids_at[at + 1]]
+        self.packed = [(b"".join(x), np.cumsum([0, *map(len, x)], dtype=np.int64)) for x in (units, ids)]
+        self._table: dict[str, bytes] | None = None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "_table": None}
+
+    def table(self) -> dict[str, bytes]:
+        if self._table is None:
+            (units, unit_at), (ids, id_at) = ((raw, at.tolist()) for raw, at in self.packed)
+            self._table = {
+                units[s:e].decode("utf-8", "surrogatepass"): ids[i:j] for s, e, i, j in zip(unit_at, unit_at[1:], id_at, id_at[1:])
+            }
+        return self._table
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -355,18 +361,18 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     del pairs
 
     def run(batches):
-        model, known = loaded(path), shared.value
-        single = merged if model.kind == "bpe" else best_path
-        met: dict[str, bytes] = {}  # what this task has looked up or merged
-
-        def look(unit):
-            if len(met) > KEPT:
-                met.clear()
-            ids = met[unit] = known.get(unit) or np.array(model.ids(unit, single(unit, model)), "<u4").tobytes()
+        model, known = loaded(path), shared.value.table()
+        rest: dict[str, bytes] = {}
+
+        def rare(unit):
+            if len(rest) > KEPT:
+                rest.clear()
+            ids = rest[unit] = np.array(model.ids(unit, single(unit, model)), "<u4").tobytes()
             return ids
 
+        single = alone if model.kind == "bpe" else best_path
         for batch in batches:
-            parts = [b"".join([met.get(u) or look(u) for u in model.units(t.as_py() or "")]) for t in batch.column("text")]
+            parts = [b"".join([known.get(u) or rest.get(u) or rare(u) for u in model.units(t.as_py() or "")]) for t in batch.column("text")]
             ends = np.cumsum([0, *(len(x) // 4 for x in parts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import pickle
 import random
 
 import pytest
@@ -37,14 +38,12 @@ def test_nothing(spark, nothing):
     assert S.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).select("text").collect() == [(None,), ("",)]
 
 
-def test_known_units_are_found_by_their_bytes():
-    rng = random.Random(6)
-    units = sorted({"".join(rng.choice("▁abé🙂") for _ in range(rng.randrange(1, 7))) for _ in range(3000)})
-    held, other = units[::2], units[1::2]
-    known = S.Known([u.encode() for u in held], [u[::-1].encode() for u in held])
-    assert [known.get(u) for u in held] == [u[::-1].encode() for u in held]
-    assert not any(known.get(u) for u in other)
-    assert S.Known([], []).get("a") is None
+def test_known_units_come_back_from_a_broadcast():
+    units = ["a", "▁bé", "🙂", "▁" * 40, "\ud800"]
+    sent = S.Known([u.encode("utf-8", "surrogatepass") for u in units], [bytes([i]) * i for i in range(len(units))])
+    sent.table()
+    assert pickle.loads(pickle.dumps(sent)).table() == {u: bytes([i]) * i for i, u in enumerate(units)}
+    assert S.Known([], []).table() == {}
 
 
 def test_heap_merges_equal_the_library():
@@ -53,6 +52,7 @@ def test_heap_merges_equal_the_library():
     for _ in range(200):
         unit = S.SPACE + "".join(rng.choice("thenaiso") for _ in range(rng.randrange(1, 60)))
         assert model.ids(unit, S.merged(unit, model)) == SP.encode(unit[1:])
+        assert S.alone(unit, model) == S.merged(unit, model)
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,26 +66,60 @@ def last(x, ignore_nulls: bool = True, order=None) -> Column:
     return F.max_by(F.when(c.isNotNull(), c) if ignore_nulls else c, F.when(c.isNotNull(), column(order)) if ignore_nulls else column(order))
 
 
+#: Types that a product of integers is multiplied in, if it is cast to them.
+WIDE = (T.LongType, T.DoubleType, T.FloatType)
+
+
+def product_type(kind: T.DataType, into: T.DataType | None) -> T.DataType:
+    """The type in which a product of integers of type `kind` is multiplied, if it is then cast to `into`."""
+    if isinstance(into, (T.DoubleType, T.FloatType)):
+        return T.DoubleType()
+    return into if isinstance(into, T.LongType) else kind
+
+
+class _Product(Typed):
+    """A product, which a cast right after it can still tell the type to multiply in."""
+
+    def __init__(self, build: Callable, spec=None):
+        over = (lambda c: c) if spec is None else (lambda c: c.over(spec))
+        super().__init__(lambda df: build(df, over, None))
+        self._made = lambda df, into: build(df, over, into)
+        self._of = build
+
+    def over(self, window) -> Typed:
+        return _Product(self._of, getattr(window, "spec", window))
+
+    def cast(self, dataType) -> Typed:
+        return Typed(lambda df: self._made(df, type_of(df, F.lit(None).cast(dataType))).cast(dataType))
+
+    astype = cast
+
+
 def product(x) -> Typed:
     """The product of the non-NULL values in the type of the input; NULL if there are none.
 
     Doubles are multiplied in place. Of integers only those other than -1, 0 and 1
     are gathered and folded exactly: a product that its type can hold has at most
-    63 of them.
+    63 of them. If the product is cast right away to bigint or a floating type,
+    integers are multiplied in bigint or double, so that the narrower type can't overflow.
     """
 
-    def build(df, over=lambda c: c):
+    def build(df, over, into):
         c = resolved(df, column(x))
         kind = type_of(df, c)
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             return over(F.product(c)).cast(kind)
+        kind = product_type(kind, into)
+        zero = over(F.bool_or(c == 0))
+        if isinstance(kind, T.DoubleType):
+            return F.when(zero, F.lit(0.0)).otherwise(over(F.product(c)))
         factors = over(F.collect_list(F.when(~c.isin(-1, 0, 1), c)))
         flips = over(F.count(F.when(c == -1, 1)))
-        start = F.when(over(F.bool_or(c == 0)), F.lit(0)).otherwise(F.when(flips % 2 == 1, F.lit(-1)).otherwise(F.lit(1)))
-        fold = F.aggregate(F.when(over(F.bool_or(c == 0)), F.array().cast(T.ArrayType(kind))).otherwise(factors), start.cast(kind), lambda a, v: (a * v).cast(kind))
+        start = F.when(zero, F.lit(0)).otherwise(F.when(flips % 2 == 1, F.lit(-1)).otherwise(F.lit(1)))
+        fold = F.aggregate(F.when(zero, F.array().cast(T.ArrayType(type_of(df, c)))).otherwise(factors), start.cast(kind), lambda a, v: (a * v).cast(kind))
         return F.when(over(F.count(c)) > 0, fold)
 
-    return Typed(build, lambda df, spec: build(df, lambda c: c.over(spec)))
+    return _Product(build)
 
 
 @lifting

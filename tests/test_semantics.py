@@ -65,6 +65,34 @@ def test_product_gathers_next_to_nothing(e, spark):
         e.lift([(2,)] * 70, "v bigint").agg(f.product("v")).to_seq()
 
 
+def test_a_product_is_multiplied_in_the_type_it_is_cast_to(e, spark):
+    t = e.lift([(1, v) for v in (70000, -1, 70000, 1)] + [(2, 0), (2, 70000), (2, 70000), (3, None)], "k int, v int").as_table("wide")
+    for kind, want in (("double", [(1, -4.9e9), (2, 0.0), (3, None)]), ("bigint", [(1, -4900000000), (2, 0), (3, None)])):
+        got = e.sql(f"SELECT k, CAST(product(v) AS {kind}) AS p FROM wide GROUP BY k")
+        assert rows(got) == rows(t.group_by("k").agg("k", f.product("v").cast(kind).alias("p"))) == want
+        assert dict(got.df.dtypes)["p"] == kind
+        w = Window.partition_by("k")
+        many = sorted([want[0][1:]] * 4 + [want[1][1:]] * 3 + [(None,)], key=str)
+        assert rows(e.sql(f"SELECT CAST((product(v) OVER (PARTITION BY k)) AS {kind}) AS p FROM wide")) == rows(t.select(f.product("v").over(w).cast(kind))) == many
+    assert e.lift([(7,)] * 100, "v bigint").agg(f.product("v").cast("double")).to_seq()[0][0] == pytest.approx(7.0**100)
+    assert e.sql("SELECT CAST((SELECT max(v) FROM wide) AS BIGINT) AS x").to_seq()[0][0] == 70000
+    for text in ("product(v)", "CAST(product(v) AS INT)", "product(v) + 1"):  # elsewhere it keeps the type of its input
+        with pytest.raises(Exception, match="(?i)overflow"):
+            e.sql(f"SELECT {text} AS p FROM wide WHERE k = 1").to_seq()
+
+
+def test_average_and_product_on_a_whole_table(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    place = "/root/testdata/sf0.1"
+    got = entry.queries()["sql_average_product"](spark, place).toPandas().sort_values("l_orderkey")
+    want = duckdb.sql(f"SELECT l_orderkey, round(avg(l_quantity), 6) AS m, product(l_linenumber) AS p FROM '{place}/lineitem.parquet' GROUP BY l_orderkey ORDER BY 1").df()
+    assert (got["l_orderkey"].to_numpy() == want["l_orderkey"].to_numpy()).all() and (got["p"].to_numpy() == want["p"].to_numpy()).all()
+    assert got["m"].to_numpy() == pytest.approx(want["m"].to_numpy(), abs=1e-6) and want["p"].max() > 2**31
+
+
 def test_a_user_defined_aggregate(e):
     t = e.table("sem")
     total = f.aggregate("b", f.lit(0).cast("bigint"), lambda s, v: s + v, lambda x, y: x + y)

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpointed, scratch, shipped, shuffle_width, sieve, sifted, written
 from tessera.llm.similarity import linked
 from tessera.llm.simhash import HOT, covering_masks, hashes, majority, signed, words_of
-from tessera.llm.spotsigs import length_class
 
 SHINGLE, ALIKE = 5, 0.8
 #: Fingerprints of a text, and the differing bits that each looks up to. Shared shingles find all links by themselves, so one is enough.
@@ -104,6 +103,12 @@ def leading(shingles: np.ndarray, threshold: float, often: np.ndarray, times: np
     return shingles[np.lexsort((shingles, count))[: n - math.ceil(n * threshold - 1e-9) + 1]]
 
 
+def size_class(n: Column) -> Column:
+    """Classes of sizes, 16 from one power of two to the next, in whole numbers throughout; the more, the larger."""
+    power = (F.length(F.bin(n)) - 1).cast("int")
+    return (F.when(n > 0, power * 16 + F.call_function("shiftright", F.shiftleft(n, 4), power))).cast("int")
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of the texts in a sample, sorted, and how many texts have each: at most MOST."""
 
@@ -259,19 +264,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         parts.append(rooted.join(points, "fingerprint").select(F.xxhash64(F.lit(k), "root").alias("bucket"), "node"))
         same = points.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
         parts.append(points.join(same, "fingerprint").select(F.xxhash64(F.lit(k), F.lit(-1), "fingerprint").alias("bucket"), "node"))
-    firsts = nodes.select("node", "n", F.explode("firsts").alias("h"))
+    firsts = nodes.select("node", "n", F.posexplode("firsts").alias("at", "h"))
     # Written, so that the join has plain exchanges on both sides and a hot shingle can be split.
     shared = written(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h"), "firsts")
-    cls = length_class(F.col("n"), threshold)
-    sized = firsts.join(shared, "h", "left_semi").select("h", "node", F.explode(F.array(cls, cls + 1)).alias("cls"))
-    led = written(sized.select(F.xxhash64(F.lit(PRINTS), "cls", "h").alias("bucket"), "node"), "led")
-    # Texts with one passage in common share many shingles: of buckets of the same nodes one is enough.
-    held = led.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("many > 1")
-    parts.append(led.join(held.groupBy("many", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi").select("bucket", "node"))
-    members = parts[0]
+    # If this is the first shingle that it shares with another text, it shares n - at of them at most, and that says how large the other's set can be.
+    most = F.floor((F.col("n") - F.col("at")) * ((1 + threshold) / threshold) - F.col("n") + 1e-6).cast("long")
+    sized = firsts.join(shared, "h", "left_semi").select("h", "node", "n", most.alias("most"))
+    # A bucket holds the texts of one size class, and those that can be the larger one beside such a text.
+    low, high = size_class(F.ceil(F.col("n") * threshold - 1e-6).cast("long")), size_class(F.least("n", "most"))
+    spread = sized.where(F.col("most") >= F.col("n") * threshold - 1e-6).select("*", F.explode(F.sequence(low, high)).alias("cls"))
+    led = written(spread.select(F.xxhash64(F.lit(PRINTS), "cls", "h").alias("bucket"), "node", "n", "most", ((F.col("cls") == size_class(F.col("n"))) & (F.col("most") >= F.col("n"))).alias("own")), "led")
+    # Texts with one passage in common share many shingles: of buckets of the same nodes one is enough, with the widest claim of each.
+    held = led.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.max("own").alias("any"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("many > 1 and any")
+    held = written(held, "held")
+    one = held.join(held.groupBy("many", "x", "y").agg(F.min("bucket").alias("one")), ["many", "x", "y"]).select("bucket", "one")
+    widest = led.join(one, "bucket").groupBy(F.col("one").alias("bucket"), "node", "n").agg(F.max("most").alias("most"), F.max("own").alias("own"))
+    blank = nodes.where("n = 0").select(F.xxhash64(F.lit(PRINTS)).alias("bucket"), "node", "n", F.lit(0).cast("long").alias("most"), F.lit(True).alias("own"))
+    members = written(widest.union(blank), "nearmembers")
+    hints = parts[0]
     for part in parts[1:]:
-        members = members.union(part)
-    members = written(members, "nearmembers")
+        hints = hints.union(part)
+    hints = written(hints, "nearhints")
 
     def plausible(a: str, b: str) -> Column:
         # Of two such sets at most this share of their sizes together stands in one alone.
@@ -289,7 +302,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
         return written(found.mapInPandas(run, "node long, `set` array<long>").dropDuplicates(["node"]), "nearsets")
 
-    groups = linked(members, nodes.select("node", "n", "bits"), threshold, sets, plausible)
+    groups = linked(members, nodes.select("node", "n", "bits"), threshold, sets, plausible, hints)
     classes = nodes.select("node", "digest", "key").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("key").alias("class_id"))
     return rows.select("key", "digest").join(classes.join(least, "component").select("digest", "class_id"), "digest").select(F.col("key").alias(key), "digest", "class_id")

@@ -2,10 +2,12 @@
 
 Two nodes that share a bucket are candidates; a link is a pair of candidates
 whose sets have a Jaccard likeness of at least `threshold`. First every node is
-held against the least node of all its buckets, then against the least node of each
+held against one node of its buckets, then against one node of each
 group found so far, and at last every two candidates of different groups against
-each other. A dense group falls together in the first rounds, which take as
-many pairs as rows; pairs inside a group are never looked at again.
+each other. A dense group falls together in the first round, which takes no more
+pairs than rows; pairs inside a group are never looked at again. Members can say
+where they may stand in a bucket: then unlike texts are no candidates merely
+because they share something that is frequent (see fits).
 """
 
 from __future__ import annotations
@@ -43,24 +45,58 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, plausible: C
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     groups = components(links).withColumnRenamed("component", "label")
     joined = members.join(groups, "node", "left")
-    return checkpointed(joined.select("bucket", "node", F.coalesce("label", "node").alias("label")))
+    return checkpointed(joined.select(*members.columns, F.coalesce("label", "node").alias("label")))
 
 
-def linked(members: DataFrame, nodes: DataFrame, threshold: float, sets: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """(node, component) for every node that has a link. members: (bucket, node); see _verified for the rest."""
+#: What a member of a bucket says of itself to `fits`: the size of its set, the largest size of the other's, and whether it may be the smaller one here.
+SAYS = ("n", "most", "own")
+
+
+def fits(a: str, b: str, threshold: float) -> Column:
+    """Of two members of a bucket (columns n, most, own and node): whether a is the smaller one (of equal sizes the lesser node), may be so in this bucket, and both take the other's size."""
+    c = lambda x, name: F.col(x + name)
+    smaller = (c(a, "n") < c(b, "n")) | (c(a, "n") == c(b, "n")) & (c(a, "node") < c(b, "node"))
+    return smaller & c(a, "own") & (c(b, "n") <= c(a, "most")) & (c(a, "n") <= c(b, "most")) & (c(a, "n") >= c(b, "n") * threshold - 1e-6)
+
+
+def linked(
+    members: DataFrame,
+    nodes: DataFrame,
+    threshold: float,
+    sets: Callable[[DataFrame], DataFrame],
+    plausible: Callable[[str, str], Column] | None = None,
+    hints: DataFrame | None = None,
+) -> DataFrame:
+    """(node, component) for every node that has a link. members: (bucket, node); see _verified for the rest.
+
+    If members also have the columns SAYS, only those two are candidates of which one fits the other in a bucket.
+    hints: more (bucket, node) for the first turn, of which no link depends.
+    """
     found = members.sparkSession.createDataFrame([], "a long, b long")
-    now = members.select("bucket", "node", F.col("node").alias("label"))
+    says = [c for c in SAYS if c in members.columns]
+    # The text with the least of its own before what it shares with others is alike to most of them.
+    first = F.struct(*([(F.col("most") / F.greatest("n", F.lit(1))).alias("good")] if says else []), (-F.col("node")).alias("least"), "node", *says)
+    mark = lambda df, x: df.select(*[F.col(c).alias(c if c == "bucket" else x + c) for c in df.columns])
+    either = fits("a_", "b_", threshold) | fits("b_", "a_", threshold) if says else F.lit(True)
+    now = members
     for turn in range(3):
         if turn == 0:
-            lead = now.groupBy("bucket").agg(F.min("node").alias("a"))
+            lead = lambda df, at: mark(df, "b_").join(mark(df.groupBy("bucket").agg(F.max(at).alias("m")).select("bucket", "m.*"), "a_"), "bucket")
             # One pair for each node: the least leader of all its buckets.
-            pairs = now.select("bucket", F.col("node").alias("b")).join(lead, "bucket").groupBy("b").agg(F.min("a").alias("a"))
+            one = lambda df: lead(df.select("bucket", "node"), F.struct((-F.col("node")).alias("least"), "node")).groupBy("b_node").agg(F.min("a_node").alias("a_node"))
+            pairs = lead(members, first).where(either).select("b_node", "a_node") if says else one(members)
+            pairs = (pairs if hints is None else pairs.union(one(hints))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         else:
-            other = now.groupBy("bucket", "label").agg(F.min("node").alias("a")) if turn == 1 else now.select("bucket", "label", F.col("node").alias("a"))
             several = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            open_ = now.join(several, "bucket", "left_semi").select("bucket", F.col("label").alias("own"), F.col("node").alias("b"))
-            pairs = open_.join(other, "bucket").where(F.col("own") != F.col("label"))
-            pairs = (pairs if turn == 1 else pairs.where("a < b")).select("a", "b")
+            open_ = now.join(several, "bucket", "left_semi")
+            if turn == 1:
+                least = open_.groupBy("bucket", "label").agg(F.max(first).alias("m")).select("bucket", "label", "m.*")
+                fit = either
+                pairs = mark(open_, "b_").join(mark(least, "a_"), "bucket")
+            else:
+                fit = fits("a_", "b_", threshold) if says else F.col("a_node") < F.col("b_node")
+                pairs = mark(open_, "b_").join(mark(open_.where("own") if says else open_, "a_"), "bucket")
+            pairs = pairs.where((F.col("a_label") != F.col("b_label")) & fit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         found = checkpointed(found.union(_verified(pairs, nodes, threshold, plausible, sets)).distinct())
         if turn < 2:
             now = _labelled(members, found)

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import near_dedup as N
+from tessera.llm import similarity
 from tessera.llm.simhash import words_of
 
 
@@ -74,6 +76,43 @@ def test_appended_cut_and_replaced_copies(spark):
     assert got == {i: want[i] for i, _ in rows}
 
 
+def test_unlike_texts_around_one_passage_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(9)
+    bank = [f"w{k}" for k in range(5000)]
+    some = lambda n: [rng.choice(bank) for _ in range(n)]
+    passage = some(200)
+    texts = [some(rng.choice([40, 42, 55])) + passage for _ in range(80)]  # 0.65 to 0.71 alike
+    texts += [t[3 + k % 9 :] for k, t in enumerate(texts[:20])] + [passage[k:] + some(k) for k in range(1, 12)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    counts, real = [], similarity._verified
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "_verified", counted)
+    want = brute(rows)
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(want[i] != i for i, _ in rows)
+    assert counts[1] + counts[2] <= 10 * len(rows)  # all pairs are over 6,000
+
+
+def test_a_first_shared_shingle_says_which_sizes_fit(spark):
+    rng = np.random.default_rng(6)
+    seen = []
+    for _ in range(400):
+        a = rng.permutation(1 << 12)[: rng.integers(1, 300)]
+        b = np.concatenate((a[rng.integers(0, len(a) // 4 + 1) :], (1 << 12) * rng.integers(0, 2) + rng.permutation(1 << 12)[: rng.integers(0, len(a) // 5 + 1)]))
+        a, b = sorted((np.unique(a), np.unique(b)), key=len)
+        both = np.intersect1d(a, b)
+        if len(both) and len(both) / len(np.union1d(a, b)) >= N.ALIKE:
+            seen.append((len(a), int(np.searchsorted(a, both[0])), len(b), int(np.searchsorted(b, both[0]))))
+    most = lambda n, at: (n - at) * 2.25 - n + 1e-6
+    assert len(seen) > 50 and all(nb <= most(na, i) and na <= most(nb, j) for na, i, nb, j in seen)
+    classes = [r[0] for r in spark.range(1, 5000).select(N.size_class(F.col("id"))).collect()]
+    assert classes == sorted(classes) and max(classes[k + 1] - classes[k] for k in range(20, 4998)) == 1
+
+
 def test_no_candidate_is_lost_to_the_order_or_the_parities():
     rng = np.random.default_rng(4)
     for n in (1, 2, 5, 9, 10, 64, 1000):

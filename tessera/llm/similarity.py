@@ -42,9 +42,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, plausible: C
     return checkpointed(joined.where(jaccard(F.col("a_set"), F.col("b_set")) >= threshold).select("a", "b"))
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    groups = components(links).withColumnRenamed("component", "label")
-    joined = members.join(groups, "node", "left")
+def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    joined = members.join(groups.withColumnRenamed("component", "label"), "node", "left")
     return checkpointed(joined.select(*members.columns, F.coalesce("label", "node").alias("label")))
 
 
@@ -72,7 +71,7 @@ def linked(
     If members also have the columns SAYS, only those two are candidates of which one fits the other in a bucket.
     hints: more (bucket, node) for the first turn, of which no link depends.
     """
-    found = members.sparkSession.createDataFrame([], "a long, b long")
+    groups = members.sparkSession.createDataFrame([], "node long, component long")
     says = [c for c in SAYS if c in members.columns]
     # The text with the least of its own before what it shares with others is alike to most of them.
     first = F.struct(*([(F.col("most") / F.greatest("n", F.lit(1))).alias("good")] if says else []), (-F.col("node")).alias("least"), "node", *says)
@@ -97,7 +96,9 @@ def linked(
                 fit = fits("a_", "b_", threshold) if says else F.col("a_node") < F.col("b_node")
                 pairs = mark(open_, "b_").join(mark(open_.where("own") if says else open_, "a_"), "bucket")
             pairs = pairs.where((F.col("a_label") != F.col("b_label")) & fit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-        found = checkpointed(found.union(_verified(pairs, nodes, threshold, plausible, sets)).distinct())
+        # A group so far is handed on as links to its least node: earlier links say no more.
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = components(known.union(_verified(pairs, nodes, threshold, plausible, sets)))
         if turn < 2:
-            now = _labelled(members, found)
-    return components(found)
+            now = _labelled(members, groups)
+    return groups

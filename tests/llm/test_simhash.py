@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from tessera.llm import simhash as S
+from tessera.llm.common import checkpointed
 from tessera.llm.components import components
 
 
@@ -87,3 +88,17 @@ def test_components_of_a_long_path(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_plans_stay_small(spark, monkeypatch):
+    plans = []
+
+    def counted(df):
+        plans.append(len(df._jdf.queryExecution().optimizedPlan().treeString().splitlines()))
+        return checkpointed(df)
+
+    monkeypatch.setattr("tessera.llm.components.checkpointed", counted)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (200, 200), (7, None)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+    assert max(plans) <= 20, plans  # the driver plans, explains and logs each of them anew
